@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candor.llm import bpe, packing, pii, simhash
+from candor.llm import bpe, langid, media, packing, pii, simhash, toxicity
 from candor.llm.common import documents
 
 
@@ -28,12 +28,24 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(documents(spark, sf_dir))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(documents(spark, sf_dir))
+
+
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.features(media.store(documents(spark, sf_dir)))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), _vocabulary("byte_bpe_multi_50k.tiktoken"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii": op1_pii, "op2_packing": op2_packing, "op3_simhash": op3_simhash, "op8_bpe": op8_bpe}
+    return {"op1_pii": op1_pii, "op2_packing": op2_packing, "op3_simhash": op3_simhash, "op5_toxicity": op5_toxicity, "op6_langid": op6_langid, "op7_media": op7_media, "op8_bpe": op8_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
