@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,13 +29,22 @@ def share(rows: int, bound: int, column: str = "doc_id") -> Column:
     return F.pmod(F.xxhash64(F.col(column), F.lit(11)), F.lit(parts)) < F.lit(int(parts * min(1.0, bound / max(rows, 1))) + 1)
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """`df` written to the checkpoint folder all executors share, and read back; lineage ends there.
-
-    The folder is the one the session names in spark.checkpoint.dir; only where none is named
-    (tests on one machine) a temporary one is taken.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the session names; only where none is named (tests on one machine) a temporary one."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """`df` as a Parquet table in the shared folder, read back: smaller on disk than a checkpoint, for larger tables."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """`df` written to the checkpoint folder all executors share, and read back; lineage ends there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -118,3 +118,18 @@ def predict(docs: DataFrame, held_out: int = 4, remainder: int = 2) -> DataFrame
 
     given = docs.select("doc_id", (id_bucket(held_out) == remainder).alias("held_out"), text_or_empty().alias("text"))
     return given.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def with_language(docs: DataFrame, least_score: float = 0.2) -> DataFrame:
+    """The documents in a language of the model (not 'und', and that score at least), with their columns as they are."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            for a, b in slices(texts):
+                names, scores = model.value.predict(texts[a:b])
+                yield batch.slice(a, b - a).filter(pa.array([n != "und" and s >= least_score for n, s in zip(names, scores, strict=True)]))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from candor.llm import bpe, langid, media, packing, pii, simhash, toxicity
+from candor.llm import bpe, langid, media, packing, pii, recurrent, simhash, toxicity, urlfilter, vectors
 from candor.llm.common import documents
 
 
@@ -14,20 +14,24 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(documents(spark, sf_dir))
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(documents(spark, sf_dir), _vocabulary("byte_bpe_50k.tiktoken"))
+    return packing.pack(documents(spark, sf_dir), vocabulary("byte_bpe_50k.tiktoken"))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(documents(spark, sf_dir))
 
 
+def op4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -41,12 +45,20 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(documents(spark, sf_dir), _vocabulary("byte_bpe_multi_50k.tiktoken"))
+    return bpe.round_trip(documents(spark, sf_dir), vocabulary("byte_bpe_multi_50k.tiktoken"))
+
+
+def op9_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.digest(spark, sf_dir)
+
+
+def op10_recurrent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recurrent.score(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii": op1_pii, "op2_packing": op2_packing, "op3_simhash": op3_simhash, "op5_toxicity": op5_toxicity, "op6_langid": op6_langid, "op7_media": op7_media, "op8_bpe": op8_bpe}
+    return {"op1_pii": op1_pii, "op2_packing": op2_packing, "op3_simhash": op3_simhash, "op4_vectors": op4_vectors, "op5_toxicity": op5_toxicity, "op6_langid": op6_langid, "op7_media": op7_media, "op8_bpe": op8_bpe, "op9_urlfilter": op9_urlfilter, "op10_recurrent": op10_recurrent}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_urlfilter": urlfilter.ORACLE}

@@ -69,7 +69,7 @@ def _hits(texts: list[str], index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pairs // max(width, 1), pairs % max(width, 1)
 
 
-def logistic(rows: np.ndarray, columns: np.ndarray, scale: np.ndarray, labels: np.ndarray, rounds: int = 250, penalty: float = 1e-3) -> tuple[np.ndarray, float]:
+def logistic(rows: np.ndarray, columns: np.ndarray, scale: np.ndarray, labels: np.ndarray, rounds: int = 250, penalty: float = 1.0) -> tuple[np.ndarray, float]:
     """Weights of scaled binary features given as (row, column) pairs, and the intercept, by full-batch Adam."""
     n, width = len(labels), len(scale)
     weights, bias = np.zeros(width + 1), np.log((labels.sum() + 1) / (n - labels.sum() + 1))
@@ -85,7 +85,7 @@ def logistic(rows: np.ndarray, columns: np.ndarray, scale: np.ndarray, labels: n
     return weights[:-1] * scale, float(weights[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, held_out: int = 5, sample_rows: int = 20_000, features: int = 4096) -> tuple[np.ndarray, np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, held_out: int = 5, sample_rows: int = 20_000, features: int = 1024) -> tuple[np.ndarray, np.ndarray, float]:
     """Model index of each feature id (-1: none), the weights, and the intercept."""
     none = np.full(len(ORDERS) << BITS, -1, np.int32)
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (id_bucket(held_out) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("mark"))
@@ -142,3 +142,22 @@ def score(docs: DataFrame, labels: DataFrame, held_out: int = 5, sample_rows: in
 
     given = docs.select("doc_id", (id_bucket(held_out) == 0).alias("held_out"), text_or_empty().alias("text"))
     return given.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, held_out: int = 5) -> DataFrame:
+    """The documents whose score is below the threshold, with their columns as they are."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, held_out))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, weights, bias = model.value
+        for batch in batches:
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            for a, b in slices(texts):
+                margin = np.full(b - a, bias)
+                if len(weights):
+                    rows, columns = _hits(texts[a:b], index)
+                    margin += np.bincount(rows, weights[columns], minlength=b - a)
+                yield batch.slice(a, b - a).filter(pa.array(1 / (1 + np.exp(-np.clip(margin, -500, 500))) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
