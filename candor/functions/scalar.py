@@ -104,7 +104,7 @@ def cosine(a: str, b: str) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def hypergeometric_tail(k: pd.Series, drawn: pd.Series, marked: pd.Series, total: pd.Series) -> pd.Series:
     """P(X >= k) for draws without replacement, by log-factorials."""
     from math import exp, lgamma

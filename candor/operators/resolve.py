@@ -34,5 +34,5 @@ def resolve(values: DataFrame, column: str, forms: DataFrame) -> DataFrame:
         column,
         F.when(F.col("n_").isNull(), "not_found").when(F.col("n_") > 1, "ambiguous").otherwise("resolved").alias("status"),
         F.when(F.col("n_") == 1, F.col("canonical")).alias("canonical"),
-        F.element_at(F.array(*map(F.lit, RULES)), F.col("rule") + 1).alias("rule"),
+        F.when(F.col("n_").isNotNull(), F.element_at(F.array(*map(F.lit, RULES)), F.coalesce("rule", F.lit(0)) + 1)).alias("rule"),
     )
