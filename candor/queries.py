@@ -146,7 +146,7 @@ def serve_count_with_unknown(spark, d):
     return unknown_counts(_orders(spark, d), {"gt": ["price", 100000]}, {"eq": ["priority", "1-URGENT"]})
 
 
-@query("SELECT l_orderkey, count(*) AS n_items, sum(CAST(l_quantity AS BIGINT)) AS quantity FROM lineitem GROUP BY 1")
+@query("SELECT l_orderkey, count(*) AS n_items, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity FROM lineitem GROUP BY 1")
 def item_table_explode(spark, d):
     b = _baskets(spark, d).select("l_orderkey", F.posexplode("items").alias("pos", "item"))
     return b.groupBy("l_orderkey").agg((F.max("pos") + 1).cast("long").alias("n_items"), F.sum(F.col("item.l_quantity").cast("long")).alias("quantity"))
@@ -401,12 +401,12 @@ _KM = f"""c AS (SELECT o_orderpriority, days, count(*) FILTER (done) AS d, count
     s AS (SELECT *, CASE WHEN max(CASE WHEN d = at_risk THEN 1 ELSE 0 END) OVER w = 1 THEN 0 ELSE exp(sum(CASE WHEN d < at_risk THEN ln(1 - d / at_risk) ELSE 0 END) OVER w) END AS survival FROM a WINDOW w AS (PARTITION BY o_orderpriority ORDER BY days ROWS UNBOUNDED PRECEDING))"""
 
 
-@query(f"WITH {_KM} SELECT o_orderpriority, days, d, CAST(at_risk AS BIGINT) AS at_risk, round(survival, 6) AS survival FROM s WHERE d > 0")
+@query(f"WITH {_KM} SELECT o_orderpriority, CAST(days AS INTEGER) AS days, d, CAST(at_risk AS BIGINT) AS at_risk, round(survival, 6) AS survival FROM s WHERE d > 0")
 def kaplan_meier(spark, d):
     return statistics.survival_curve(_late(spark, d), "o_orderpriority", "days", "done").select("o_orderpriority", "days", "d", "at_risk", r6("survival").alias("survival"))
 
 
-@query(f"WITH {_KM} SELECT o_orderpriority, min(CASE WHEN survival <= 0.5 + 1e-12 THEN days END) AS median_time FROM s WHERE d > 0 GROUP BY 1")
+@query(f"WITH {_KM} SELECT o_orderpriority, CAST(min(CASE WHEN survival <= 0.5 + 1e-12 THEN days END) AS INTEGER) AS median_time FROM s WHERE d > 0 GROUP BY 1")
 def km_median(spark, d):
     return statistics.survival_median(statistics.survival_curve(_late(spark, d), "o_orderpriority", "days", "done"), "o_orderpriority", "days")
 
