@@ -71,6 +71,8 @@ TWO = [1 << i | 1 << j for half in (range(32), range(32, 64)) for i in half for
 
 def _screened(fps: DataFrame) -> DataFrame:
     """The fingerprints that agree with another in one half up to one bit."""
+    # a fingerprint becomes 66 rows: so few bytes must not meet in a few tasks before that
+    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     low, high = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32)
     flips = _masks([0, *(1 << i for i in range(32))])
     emitted = fps.select(
