@@ -33,7 +33,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: dict[str, np.ndarray] = {}
     for batch in batches:
         langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for a, b in slices(texts):
+        for a, b in slices(texts, 700_000):
             for lang in set(langs[a:b]):
                 ids, _ = hashed([letters_only(t) for t, x in zip(texts[a:b], langs[a:b], strict=True) if x == lang], ORDER, BITS)
                 if lang not in seen:
@@ -112,7 +112,7 @@ def predict(docs: DataFrame, held_out: int = 4, remainder: int = 2) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(2).to_pylist()
-            for a, b in slices(texts):
+            for a, b in slices(texts, 700_000):
                 names, scores = model.value.predict(texts[a:b])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
@@ -128,7 +128,7 @@ def with_language(docs: DataFrame, least_score: float = 0.2) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column(at).to_pylist()]
-            for a, b in slices(texts):
+            for a, b in slices(texts, 700_000):
                 names, scores = model.value.predict(texts[a:b])
                 yield batch.slice(a, b - a).filter(pa.array([n != "und" and s >= least_score for n, s in zip(names, scores, strict=True)]))
 

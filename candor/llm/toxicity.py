@@ -45,7 +45,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = [0, 0]
     for batch in batches:
         texts, toxic = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), np.int64)
-        for a, b in slices(texts):
+        for a, b in slices(texts, 700_000):
             docs, ids = _present(texts[a:b])
             pairs = np.unique(docs * width + ids)
             marks = toxic[a:b][pairs // width]
@@ -107,7 +107,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int = 5, sample_rows: int
     def known_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            for a, b in slices(texts):
+            for a, b in slices(texts, 700_000):
                 rows, columns = _hits(texts[a:b], index)
                 lists = np.split(columns, np.cumsum(np.bincount(rows, minlength=b - a))[:-1])
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), pa.array([x.tolist() for x in lists], pa.list_(pa.int32()))], ["mark", "features"])
@@ -129,7 +129,7 @@ def score(docs: DataFrame, labels: DataFrame, held_out: int = 5, sample_rows: in
         index, weights, bias = model.value
         for batch in batches:
             texts = batch.column(2).to_pylist()
-            for a, b in slices(texts):
+            for a, b in slices(texts, 700_000):
                 if len(weights):
                     rows, columns = _hits(texts[a:b], index)
                     margin = np.bincount(rows, weights[columns], minlength=b - a) + bias
@@ -153,7 +153,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, he
         index, weights, bias = model.value
         for batch in batches:
             texts = [t or "" for t in batch.column(at).to_pylist()]
-            for a, b in slices(texts):
+            for a, b in slices(texts, 700_000):
                 margin = np.full(b - a, bias)
                 if len(weights):
                     rows, columns = _hits(texts[a:b], index)
