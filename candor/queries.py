@@ -364,9 +364,6 @@ def resolve_ids(spark, d):
 # statistics
 
 
-_FACT = "(SELECT n, ln_fact FROM (SELECT n, coalesce(sum(ln(n)) OVER (ORDER BY n ROWS UNBOUNDED PRECEDING), 0) AS ln_fact FROM range(1, 20001) t(n)) UNION ALL SELECT 0, 0)"
-
-
 @query(
     """WITH u AS (SELECT DISTINCT l_partkey AS k FROM lineitem), q AS (SELECT DISTINCT l_partkey AS k FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey = 3),
     s AS (SELECT p_brand, count(*) AS size, count(q.k) AS overlap FROM part JOIN u ON p_partkey = u.k LEFT JOIN q ON p_partkey = q.k GROUP BY 1 HAVING count(*) BETWEEN 2 AND 5000)
