@@ -117,3 +117,21 @@ def hypergeometric_tail(k: pd.Series, drawn: pd.Series, marked: pd.Series, total
         return min(1.0, sum(exp(choose(m, i) + choose(t - m, n - i) - choose(t, n)) for i in range(low, high + 1))) if k > 0 else 1.0
 
     return pd.Series([tail(int(a), int(b), int(c), int(d)) for a, b, c, d in zip(k, drawn, marked, total)])
+
+
+def phase_number(column: Column) -> Column:
+    """A written trial phase as a number: early is 0.5, Roman or Arabic 0 to 4, the greatest of a combined one; else null."""
+    text = F.upper(column)
+    arabic = F.transform(F.regexp_extract_all(text, F.lit(r"(?<![0-9])([0-4])(?![0-9])"), F.lit(1)), lambda x: x.cast("double"))
+    roman = F.transform(F.regexp_extract_all(text, F.lit(r"\b(IV|I{1,3})\b"), F.lit(1)), lambda x: F.array_position(F.array(*map(F.lit, ("I", "II", "III", "IV"))), x).cast("double"))
+    return F.when(text.contains("EARLY"), F.lit(0.5)).otherwise(F.array_max(F.concat(arabic, roman)))
+
+
+def squeezed(share: Column, n: Column) -> Column:
+    """A proportion of n moved off 0 and 1."""
+    return F.try_divide(share * (n - 1) + 0.5, n)
+
+
+def below(mantissa: str, exponent: str, m: float, e: int) -> Column:
+    """mantissa * 10^exponent < m * 10^e for normalised positive numbers, without the arithmetic that underflows."""
+    return (F.col(exponent) < e) | ((F.col(exponent) == e) & (F.col(mantissa) < m))

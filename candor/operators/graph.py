@@ -106,3 +106,16 @@ def missing_reverse(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Edges whose reverse is not stored."""
     back = edges.select(F.col(b).alias("ra"), F.col(a).alias("rb")).distinct()
     return edges.join(back, (F.col(a) == F.col("ra")) & (F.col(b) == F.col("rb")), "left_anti")
+
+
+def direct_members(membership: DataFrame, set_id: str, member: str, wanted) -> DataFrame:
+    """The members listed for a set itself, once each."""
+    return membership.where((F.col(set_id) == wanted) & F.col(member).isNotNull()).select(member).distinct()
+
+
+def mixed_fraction(membership: DataFrame, set_id: str, member: str, edges: DataFrame, parent: str, child: str) -> DataFrame:
+    """How many annotations name a member that a set below also names, and their share of all."""
+    rows = membership.where(F.col(set_id).isNotNull() & F.col(member).isNotNull()).select(F.col(set_id).alias("set_"), F.col(member).alias("member_")).distinct()
+    above = rows.join(closure(edges, parent, child), F.col("set_") == F.col("descendant")).select(F.col("ancestor").alias("set_"), "member_").distinct()
+    marked = rows.join(above.withColumn("below_", F.lit(1)), ["set_", "member_"], "left")
+    return marked.agg(F.count("*").alias("n_annotations"), F.count("below_").alias("n_mixed")).withColumn("fraction", F.try_divide("n_mixed", "n_annotations"))

@@ -36,3 +36,20 @@ def resolve(values: DataFrame, column: str, forms: DataFrame) -> DataFrame:
         F.when(F.col("n_") == 1, F.col("canonical")).alias("canonical"),
         F.when(F.col("n_").isNotNull(), F.element_at(F.array(*map(F.lit, RULES)), F.coalesce("rule", F.lit(0)) + 1)).alias("rule"),
     )
+
+
+def suggestions(values: DataFrame, column: str, labels: DataFrame, label: str) -> DataFrame:
+    """(value, suggestion): labels within one edit of a value, both in lower case.
+
+    Two texts one edit apart share a form when each may lose one character, so the texts meet by a join on those
+    forms (one more than a text's length for each) and only what meets is compared.
+    """
+
+    def forms(df: DataFrame, c: str, out: str) -> DataFrame:
+        text = F.lower(F.trim(c))
+        cuts = F.transform(F.sequence(F.lit(1), F.length(out)), lambda i: F.concat(F.substr(out, F.lit(1), i - 1), F.substr(out, i + 1)))
+        known = df.select(text.alias(out)).where(F.length(out) > 0).distinct()
+        return known.select(out, F.explode(F.array_distinct(F.concat(F.array(out), cuts))).alias("form"))
+
+    met = forms(values, column, "value").join(forms(labels, label, "suggestion"), "form").select("value", "suggestion").distinct()
+    return met.where(F.levenshtein("value", "suggestion", 1) >= 0)

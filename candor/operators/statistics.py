@@ -118,3 +118,46 @@ def pseudobulk(df: DataFrame, group: list[str], cell: str, value: str, min_cells
     share = F.log2(1 + 1e4 * F.try_divide(F.col(value), depth))
     out = df.withColumn("log_", share).groupBy(*group).agg(F.count_distinct(cell).alias("n_cells"), F.sum(value).alias("total"), F.avg("log_").alias("mean_log2"), F.avg((F.col(value) > 0).cast("double")).alias("detected"))
     return out.where(F.col("n_cells") >= min_cells)
+
+
+def midranks(df: DataFrame, group: list[str], value: str) -> DataFrame:
+    """Ascending ranks within the group, those of ties averaged, over its distinct values; null for unknown values."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("same_"))
+    by = Window.partitionBy(*(group or [F.lit(0)])).orderBy(value)
+    ranks = counts.withColumn("midrank", F.sum("same_").over(by) - (F.col("same_") - 1) / 2)
+    return df.join(ranks.drop("same_"), [*group, value], "left")
+
+
+def proportions(df: DataFrame, group: list[str], value: str) -> DataFrame:
+    """Each value's share of its group's total; null where the total is zero."""
+    totals = df.groupBy(*group).agg(F.sum(value).alias("total_"))
+    return df.join(totals, group).withColumn("share", F.try_divide(F.col(value), F.nullif(F.col("total_"), F.lit(0)))).drop("total_")
+
+
+def top_fraction(df: DataFrame, measures: list[str], fraction: float) -> DataFrame:
+    """Rows at or above the exact upper quantile of every measure."""
+    cuts = df.agg(*(F.percentile(m, F.lit(1 - fraction)).alias(f"cut_{i}") for i, m in enumerate(measures)))
+    out = df.join(F.broadcast(cuts))
+    for i, m in enumerate(measures):
+        out = out.where(F.col(m) >= F.col(f"cut_{i}"))
+    return out.select(*df.columns)
+
+
+def quotas(df: DataFrame, group: str, total: int) -> DataFrame:
+    """Each group's size and its part of `total` in proportion, whole numbers by largest remainders (ties by group)."""
+    sizes = df.groupBy(group).agg(F.count("*").alias("n"))
+    every = sizes.agg(F.sum("n").alias("rows_"))
+    exact = sizes.join(F.broadcast(every)).withColumn("want_", F.least(F.lit(total), F.col("rows_"))).withColumn("scaled_", F.col("n") * F.col("want_"))
+    parts = exact.select(group, "n", "want_", F.floor(F.col("scaled_") / F.col("rows_")).alias("floor_"), (F.col("scaled_") % F.col("rows_")).alias("left_"))
+    spare = F.col("want_") - F.sum("floor_").over(Window.partitionBy(F.lit(0)))
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("left_"), group))
+    return parts.select(group, "n", (F.col("floor_") + (place <= spare).cast("long")).alias("quota"))
+
+
+def downsample(df: DataFrame, group: str, key: str, total: int) -> DataFrame:
+    """`total` rows spread over the groups in proportion, chosen within each by a hash of the key."""
+    share = quotas(df, group, total).select(group, "quota")
+    dealt = df.join(share, group).withColumns({"hash_": F.xxhash64(key), "salt_": F.pmod(F.xxhash64(F.lit(3), key), F.lit(64))})
+    for by in ([group, "salt_"], [group]):  # first in 64 parts of each group, so that no task sorts a whole large one
+        dealt = dealt.withColumn("place_", F.row_number().over(Window.partitionBy(*by).orderBy("hash_", key))).where("place_ <= quota")
+    return dealt.drop("place_", "quota", "hash_", "salt_")

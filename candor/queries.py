@@ -8,11 +8,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candor.functions.scalar import latest_day, normalised
+from candor.functions.scalar import below, latest_day, normalised, phase_number, squeezed
 from candor.operators import graph, quality, resolve, statistics, transforms, verbs
 from candor.plans.order import best_per, top, with_boundary
 from candor.plans.predicate import unknown_counts, where
 from candor.sources.formats import long_view, parquet
+from candor.streaming.events import windowed
 
 
 @dataclass(frozen=True)
@@ -647,3 +648,110 @@ def release_diff(spark, d):
     p = table(spark, d, "part").select("p_partkey", "p_retailprice")
     new = p.where("p_partkey % 11 != 0").withColumn("p_retailprice", F.when(F.col("p_partkey") % 17 == 0, F.col("p_retailprice") + 1).otherwise(F.col("p_retailprice")))
     return verbs.release_diff(p.where("p_partkey % 13 != 0"), new, ["p_partkey"], ["p_retailprice"])
+
+
+# further verbs and functions
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE l_orderkey = 5 AND l_linenumber = 1")
+def lookup_composite(spark, d):
+    return verbs.lookup(table(spark, d, "lineitem"), {"l_orderkey": 5, "l_linenumber": 1}).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+@query("SELECT c_nationkey, string_agg(DISTINCT c_mktsegment, '|' ORDER BY c_mktsegment) AS segments, count(DISTINCT c_mktsegment) AS n_segments FROM customer GROUP BY 1")
+def agg_distinct_values(spark, d):
+    found = table(spark, d, "customer").groupBy("c_nationkey").agg(F.sort_array(F.collect_set("c_mktsegment")).alias("s"))
+    return found.select("c_nationkey", F.array_join("s", "|").alias("segments"), F.size("s").cast("long").alias("n_segments"))
+
+
+@query("SELECT DISTINCT c_custkey FROM customer WHERE c_nationkey = 4")
+def members_direct(spark, d):
+    return graph.direct_members(table(spark, d, "customer"), "c_nationkey", "c_custkey", 4)
+
+
+@query(
+    """WITH a AS (SELECT 'n' || c_nationkey AS s, c_custkey AS m FROM customer WHERE c_custkey % 3 <> 0 UNION SELECT 'r' || n_regionkey, c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 2 = 0)
+    SELECT count(*) AS n_annotations, count(*) FILTER (s LIKE 'r%' AND m % 3 <> 0) AS n_mixed, round(count(*) FILTER (s LIKE 'r%' AND m % 3 <> 0) / count(*), 6) AS fraction FROM a"""
+)
+def members_mixed_fraction(spark, d):
+    c = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    own = c.where("c_custkey % 3 != 0").select(F.concat(F.lit("n"), "c_nationkey").alias("s"), F.col("c_custkey").alias("m"))
+    top = c.where("c_custkey % 2 = 0").select(F.concat(F.lit("r"), "n_regionkey").alias("s"), F.col("c_custkey").alias("m"))
+    up = _hierarchy(spark, d).where(F.col("parent").startswith("r"))
+    return graph.mixed_fraction(own.unionByName(top), "s", "m", up, "parent", "child").withColumn("fraction", r6("fraction"))
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT n_nationkey AS a, CAST(n_nationkey * 7 % 20 AS INTEGER) AS b FROM nation), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+    SELECT a, b FROM e WHERE a IN (SELECT a FROM r WHERE a = b)"""
+)
+def graph_cycles(spark, d):
+    e = table(spark, d, "nation").select(F.col("n_nationkey").alias("a"), (F.col("n_nationkey") * 7 % 20).cast("int").alias("b"))
+    return graph.cyclic_nodes(e, "a", "b")
+
+
+@query(
+    """WITH v AS (SELECT DISTINCT lower(trim(left(n_name, 2) || substr(n_name, 4))) AS value FROM nation WHERE n_nationkey % 2 = 0 UNION SELECT lower(trim(n_name || 'X')) FROM nation WHERE n_nationkey % 3 = 0)
+    SELECT DISTINCT value, lower(trim(n_name)) AS suggestion FROM v, nation WHERE levenshtein(value, lower(trim(n_name))) <= 1"""
+)
+def resolve_suggestions(spark, d):
+    n = table(spark, d, "nation")
+    messy = n.where("n_nationkey % 2 = 0").select(F.expr("left(n_name, 2) || substr(n_name, 4)").alias("value")).unionByName(n.where("n_nationkey % 3 = 0").select(F.expr("n_name || 'X'").alias("value")))
+    return resolve.suggestions(messy, "value", n, "n_name")
+
+
+@query("SELECT p_partkey, rank() OVER (PARTITION BY p_brand ORDER BY p_size) + (count(*) OVER (PARTITION BY p_brand, p_size) - 1) / 2.0 AS midrank FROM part")
+def analysis_midrank(spark, d):
+    return statistics.midranks(table(spark, d, "part"), ["p_brand"], "p_size").select("p_partkey", "midrank")
+
+
+@query(f"SELECT p_type, r_name, round(v / sum(v) OVER (PARTITION BY p_type), 6) AS share FROM {_REV}")
+def analysis_proportions(spark, d):
+    return statistics.proportions(_regions(spark, d), ["p_type"], "v").select("p_type", "r_name", r6("share").alias("share"))
+
+
+@query(
+    """SELECT p_partkey FROM part WHERE p_size >= (SELECT quantile_cont(p_size, 0.75) FROM part) AND p_retailprice >= (SELECT quantile_cont(p_retailprice, 0.75) FROM part)"""
+)
+def analysis_top_fraction(spark, d):
+    return statistics.top_fraction(table(spark, d, "part"), ["p_size", "p_retailprice"], 0.25).select("p_partkey")
+
+
+@query(
+    """WITH s AS (SELECT c_nationkey, count(*) AS n, sum(count(*)) OVER () AS r FROM customer GROUP BY 1), p AS (SELECT *, least(100, r) AS w FROM s),
+    f AS (SELECT c_nationkey, n, w, CAST(n * w // r AS BIGINT) AS base, n * w % r AS rest FROM p),
+    q AS (SELECT c_nationkey, n, base + CASE WHEN row_number() OVER (ORDER BY rest DESC, c_nationkey) <= w - sum(base) OVER () THEN 1 ELSE 0 END AS quota FROM f)
+    SELECT c_nationkey, n, CAST(quota AS BIGINT) AS quota, CAST(quota AS BIGINT) AS drawn FROM q"""
+)
+def sample_quota(spark, d):
+    c = table(spark, d, "customer")
+    drawn = statistics.downsample(c, "c_nationkey", "c_custkey", 100).groupBy("c_nationkey").agg(F.count("*").alias("drawn"))
+    return statistics.quotas(c, "c_nationkey", 100).join(drawn, "c_nationkey", "left").select("c_nationkey", "n", "quota", F.coalesce("drawn", F.lit(0)).cast("long").alias("drawn"))
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 0.5 WHEN 1 THEN 2.0 WHEN 2 THEN 2.0 WHEN 3 THEN 3.0 WHEN 4 THEN 4.0 END::DOUBLE AS phase FROM orders")
+def scalar_phase_number(spark, d):
+    written = F.element_at(F.array(*map(F.lit, ("Early Phase 1", "PHASE II", "Phase 1/Phase 2", "Phase III", "Phase 4", "N/A"))), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    return table(spark, d, "orders").select("o_orderkey", phase_number(written).alias("phase"))
+
+
+@query("SELECT p_brand, round((avg(CASE WHEN p_size > 25 THEN 1.0 ELSE 0 END) * (count(*) - 1) + 0.5) / count(*), 6) AS share FROM part GROUP BY 1")
+def scalar_squeezed(spark, d):
+    shares = table(spark, d, "part").groupBy("p_brand").agg(F.avg((F.col("p_size") > 25).cast("double")).alias("s"), F.count("*").alias("n"))
+    return shares.select("p_brand", r6(squeezed(F.col("s"), F.col("n"))).alias("share"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE -(l_orderkey % 400) < -200 OR (l_orderkey % 400 = 200 AND 1 + l_quantity / 10 < 3)")
+def filter_mantissa_exponent(spark, d):
+    li = table(spark, d, "lineitem").select("*", (1 + F.col("l_quantity") / 10).alias("m"), (-(F.col("l_orderkey") % 400)).alias("e"))
+    return li.where(below("m", "e", 3.0, -200)).select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
+def json_path_value(spark, d):
+    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
+
+
+@query("SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
+def windowed_counts(spark, d):
+    return windowed(table(spark, d, "events"), "1 day").select(F.unix_timestamp("start").alias("day"), "event_type", "n", F.round("total", 2).alias("total"))
