@@ -69,10 +69,17 @@ ONE = [0, *(1 << i for i in range(64))]
 TWO = [1 << i | 1 << j for half in (range(32), range(32, 64)) for i in half for j in half if i < j]
 
 
+def _dealt(fps: DataFrame) -> DataFrame:
+    """Fingerprints over all shuffle partitions: few bytes, but each becomes many rows, so they must not meet in a few tasks.
+
+    Dealt by a hash of fp, since Spark leaves out a deal by the column that they are already grouped by.
+    """
+    return fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp"))
+
+
 def _screened(fps: DataFrame) -> DataFrame:
     """The fingerprints that agree with another in one half up to one bit."""
-    # a fingerprint becomes 66 rows: so few bytes must not meet in a few tasks before that
-    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    fps = _dealt(fps)
     low, high = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32)
     flips = _masks([0, *(1 << i for i in range(32))])
     emitted = fps.select(
@@ -87,7 +94,7 @@ def _screened(fps: DataFrame) -> DataFrame:
 
 def linked(fps: DataFrame) -> DataFrame:
     """Distinct fingerprints (fp) to edges (a, b) that keep every link within three bits."""
-    some = saved(_screened(fps))
+    some = _dealt(saved(_screened(fps)))
     odd = F.bit_count("fp") % 2 == 1
     near = some.select("fp", F.lit(True).alias("near"), F.explode(F.transform(_masks(ONE), lambda m: F.col("fp").bitwiseXOR(m))).alias("variant"))
     far = some.where(odd).select("fp", F.lit(False).alias("near"), F.explode(F.transform(_masks(TWO), lambda m: F.col("fp").bitwiseXOR(m))).alias("variant"))
