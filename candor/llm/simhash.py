@@ -89,7 +89,8 @@ def _screened(fps: DataFrame) -> DataFrame:
     exact = F.when(F.shiftrightunsigned("key", 32) == 0, low == F.col("key")).otherwise(high.bitwiseOR(F.lit(1 << 32)) == F.col("key"))
     emitted = emitted.withColumn("own", exact.cast("int"))
     shared = emitted.groupBy("key").agg(F.sum("own").alias("owners"), F.count("*").alias("n")).where("owners >= 1 and n >= 2").select("key")
-    return emitted.join(shared, "key", "left_semi").select("fp").distinct()
+    # Spark takes an explode for no larger than its input, and so would broadcast what isn't small
+    return emitted.join(shared.hint("merge"), "key", "left_semi").select("fp").distinct()
 
 
 def linked(fps: DataFrame) -> DataFrame:
@@ -100,7 +101,7 @@ def linked(fps: DataFrame) -> DataFrame:
     far = some.where(odd).select("fp", F.lit(False).alias("near"), F.explode(F.transform(_masks(TWO), lambda m: F.col("fp").bitwiseXOR(m))).alias("variant"))
     met = near.unionByName(far)
     hubs = met.groupBy("variant").agg(F.min(F.when(F.col("near"), F.col("fp"))).alias("hub"), F.count("*").alias("n")).where("n > 1 and hub is not null")
-    return met.join(hubs.select("variant", "hub"), "variant").where("fp != hub").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()
+    return met.join(hubs.select("variant", "hub").hint("merge"), "variant").where("fp != hub").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()
 
 
 def groups(docs: DataFrame, words: int = 3) -> DataFrame:
