@@ -48,3 +48,14 @@ def saved(df: DataFrame) -> DataFrame:
     """`df` written to the checkpoint folder all executors share, and read back; lineage ends there."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """`docs` with a number of its own for each row (kept_row), written once so that numbers never change."""
+    return written(docs.withColumn("kept_row", F.monotonically_increasing_id()))
+
+
+def least_rows(rows: DataFrame, *by: str) -> DataFrame:
+    """row and doc_id of the first of each group by (doc_id, row); null ids come last."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")
+    return rows.groupBy(*by).agg(first).select("first.row", "first.doc_id")

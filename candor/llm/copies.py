@@ -1,0 +1,139 @@
+"""Near copies for the pipeline: five-word shingles, candidates by bands of minimum hashes, links by exact Jaccard.
+
+SimHash's links within three bits are the contract of the query op3_simhash, not of this stage: at Jaccard 0.8 two
+fingerprints of 64 bits differ in about ten, and keys that would still meet cost hundreds of rows a document. Here
+`bands` keys of `rows` minimum hashes each meet with 1 - (1 - J**rows)**bands: 0.9998 at J = 0.8.
+
+Equal word sequences are one class and are placed once. All that meet on a key are compared with three of them (the
+first, the last, and one drawn by the key), so no pairs within a group are made; a pair links only if the Jaccard of
+its sets of shingle hashes is `least` or more. Groups are the connected components of these links.
+
+Texts of fewer than `words` words are one shingle; null and empty texts are one class. Rows are told apart by a
+number, so null or repeated ids never merge rows of different groups.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from candor.llm.common import least_rows, numbered, saved, text_or_empty, written
+from candor.llm.components import components
+
+_P = np.uint64(0x9E3779B97F4A7C15)
+
+
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        from xxhash import xxh64_intdigest
+
+        if len(self) > 200_000:
+            self.clear()
+        found = self[word] = xxh64_intdigest(word, 42)
+        return found
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+def shingles(found: list[bytes], words: int, hashes: dict) -> np.ndarray:
+    """The distinct hashes of a text's shingles, ascending."""
+    if not found:
+        return np.zeros(0, np.uint64)
+    each = np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found))
+    wide = min(words, len(each))
+    total = np.full(len(each) - wide + 1, wide, np.uint64)
+    for i in range(wide):
+        total = _mixed(total * _P + each[i : len(each) - wide + 1 + i])
+    return np.unique(total)
+
+
+def band_keys(found: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """One key for each band of minimum hashes; none for an empty set."""
+    if not len(found):
+        return np.zeros(0, np.int64)
+    rng = np.random.default_rng(5)
+    by, plus = rng.integers(0, 1 << 32, (2, bands * rows), np.uint32)
+    by |= np.uint32(1)
+    short = (found >> np.uint64(32)).astype(np.uint32)
+    least = np.full(bands * rows, 0xFFFFFFFF, np.uint32)
+    for a in range(0, len(short), 2048):
+        block = short[a : a + 2048]
+        least = np.minimum(least, (by[:, None] * block + plus[:, None]).min(axis=1))
+    key = np.arange(bands, dtype=np.uint64)
+    for i in range(rows):
+        key = _mixed(key * _P + least.reshape(bands, rows)[:, i])
+    return key.view(np.int64)
+
+
+def _signed(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_intdigest
+
+        hashes = _Hashes()
+        for batch in batches:
+            high, low, keys = [], [], []
+            for text in batch.column(2).to_pylist():
+                found = text.encode("utf-8", "replace").lower().split()
+                whole = xxh3_128_intdigest(b" ".join(found)).to_bytes(16, "little")
+                high.append(int.from_bytes(whole[8:], "little", signed=True))
+                low.append(int.from_bytes(whole[:8], "little", signed=True))
+                keys.append(band_keys(shingles(found, words, hashes), bands, rows))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["row", "doc_id", "high", "low", "keys"])
+
+    return docs.select(F.col("kept_row").alias("row"), "doc_id", text_or_empty().alias("text")).mapInArrow(run, "row long, doc_id long, high long, low long, keys array<long>")
+
+
+def _sets(docs: DataFrame, words: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        for batch in batches:
+            for a in range(0, batch.num_rows, 512):
+                part = batch.slice(a, 512)
+                found = [shingles(t.encode("utf-8", "replace").lower().split(), words, hashes).view(np.int64) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], ["row", "found"])
+
+    return docs.mapInArrow(run, "row long, found array<long>")
+
+
+def candidates(placed: DataFrame) -> DataFrame:
+    """(row, keys) to distinct pairs (a, b) of rows that meet on a key, each with one of three hubs of its key."""
+    met = placed.select("row", F.explode("keys").alias("key"))
+    mask = F.col("key").bitwiseAND(F.lit((1 << 62) - 1))
+    hubs = met.groupBy("key").agg(F.min("row").alias("first"), F.max("row").alias("last"), F.min(F.col("row").bitwiseXOR(mask)).alias("drawn"), F.count("*").alias("n"))
+    hubs = hubs.where("n > 1").select("key", F.array("first", "last", F.col("drawn").bitwiseXOR(mask)).alias("hubs"))
+    pairs = met.join(hubs.hint("merge"), "key").select("row", F.explode(F.array_distinct("hubs")).alias("hub")).where("row != hub")
+    return pairs.select(F.least("row", "hub").alias("a"), F.greatest("row", "hub").alias("b")).distinct()
+
+
+def linked(pairs: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
+    """The pairs whose sets of shingles have a Jaccard of `least` or more."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("asked")).distinct()
+    texts = docs.select(F.col("kept_row").alias("row"), text_or_empty().alias("text")).join(asked.hint("merge"), F.col("row") == F.col("asked"), "left_semi")
+    sets = written(_sets(texts, words))
+    left, right = sets.select(F.col("row").alias("a"), F.col("found").alias("x")), sets.select(F.col("row").alias("b"), F.col("found").alias("y"))
+    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
+    both = both.select("a", "b", (F.size("x") + F.size("y")).alias("sizes"), F.size(F.array_intersect("x", "y")).alias("common"))
+    return both.where(F.col("common") >= F.lit(least) * (F.col("sizes") - F.col("common"))).select("a", "b")
+
+
+def groups(docs: DataFrame, words: int = 5, least: float = 0.8, bands: int = 16, rows: int = 4) -> DataFrame:
+    """Numbered documents to the rows that come first in their class of equal texts: row, doc_id, root of the group."""
+    signed = written(_signed(docs, words, bands, rows))
+    classes = saved(least_rows(signed, "high", "low"))
+    placed = signed.select("row", "keys").join(classes.select(F.col("row").alias("of")).hint("merge"), F.col("row") == F.col("of"), "left_semi")
+    tree = components(linked(saved(candidates(placed)), docs, words, least))
+    return classes.join(tree.hint("merge"), F.col("row") == F.col("node"), "left").select("row", "doc_id", F.coalesce("root", "row").alias("root"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """Of each group of near copies the row with the smallest id; a null id only if all are null."""
+    given = numbered(docs)
+    kept = least_rows(groups(given), "root").select(F.col("row").alias("least_row"))
+    return given.join(kept.hint("merge"), F.col("kept_row") == F.col("least_row"), "left_semi").drop("kept_row")
