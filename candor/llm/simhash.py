@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candor.llm.common import saved, text_or_empty
+from candor.llm.common import least_rows, numbered, saved, text_or_empty
 from candor.llm.components import components
 
 
@@ -120,8 +120,12 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents without near duplicates: of each group the row whose id is the smallest stays, once."""
-    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    kept = groups(docs.select("doc_id", "text")).where("doc_id <=> component_id").select(key.alias("kept_key")).distinct()
-    once = docs.withColumn("kept_row", key).join(kept, F.col("kept_row") == F.col("kept_key"), "left_semi")
-    return once.dropDuplicates(["kept_row"]).drop("kept_row")
+    """The documents without near duplicates: of each group the row whose id is the smallest stays, once.
+
+    Rows are told apart by a number, so null and repeated ids of different groups are kept apart.
+    """
+    given = numbered(docs)
+    found = groups(given.select(F.col("kept_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id")
+    ids = given.select(F.col("kept_row").alias("of"), "doc_id")
+    kept = least_rows(found.join(ids.hint("merge"), F.col("row") == F.col("of")), "component_id").select(F.col("row").alias("least_row"))
+    return given.join(kept.hint("merge"), F.col("kept_row") == F.col("least_row"), "left_semi").drop("kept_row")

@@ -78,3 +78,11 @@ def test_every_distance_up_to_three_links_and_no_more(spark):
     for a in prints:
         for b in prints:
             assert (a == b or (a in got and b in got and got[a] == got[b])) == (want[a] == want[b])
+
+
+def test_null_and_repeated_ids_of_different_groups_stay_apart(spark):
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(80)) for _ in range(8)]
+    rows = [(None, t, i) for i, t in enumerate(texts[:6])] + [(7, texts[6], 6), (7, texts[7], 7), (None, texts[7], 8), (None, texts[0], 9)]
+    kept = [r["at"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, at int")).collect()]
+    assert len(kept) == 8 and {1, 2, 3, 4, 5, 6, 7} < set(kept) and len({0, 9} & set(kept)) == 1
