@@ -2,9 +2,9 @@
 
 Words of all training documents are counted by a shuffle. The `model_words` most frequent words, an end token and a
 token for all other words are what the network predicts; its output softmax is factored into classes of words. The
-network is trained in numpy by truncated backpropagation through time on about `train_docs` training documents
-chosen by hash (the documented bound; counts, vocabulary, classes and the shares of other words come from all of
-them). Scoring carries each document's state from window to window, so that a text has one likelihood, however
+network is trained on all training documents, each once: they are dealt by hash over a fixed number of rounds, each
+task trains the round's weights on its documents by truncated backpropagation through time (numpy, a bounded block of
+tokens at a time), and the tasks' weights are averaged by tokens, in a tree, before the next round. Scoring carries each document's state from window to window, so that a text has one likelihood, however
 long; a word outside the model's counts as the token for others times its smoothed share among them.
 
 The counts of the `known_words` most frequent words travel with the tasks (that bound holds at any size); rarer
@@ -15,8 +15,9 @@ Null text counts as empty: the end token alone. Without training documents every
 
 from __future__ import annotations
 
+import copy
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candor.llm.bpe import slices
-from candor.llm.common import id_bucket, share, text_or_empty, written
+from candor.llm.common import id_bucket, text_or_empty, written
 
 END, OTHER = 0, 1
+#: Tokens that a task trains on at a time, and weights averaged by one task.
+BLOCK, FAN_IN = 1 << 20, 32
 
 
 def words(text: str) -> list[bytes]:
@@ -133,13 +136,18 @@ class Network:
         out[order] = total
         return out
 
-    def train(self, stream: np.ndarray, lanes: int = 64, window: int = 20, rate: float = 0.01, passes: int = 1) -> None:
-        """Truncated backpropagation: lanes of the stream side by side, state carried from window to window."""
+    def train(self, stream: np.ndarray, lanes: int = 64, window: int = 20, rate: float = 0.01, passes: int = 1, memory: dict | None = None) -> None:
+        """Truncated backpropagation: lanes of the stream side by side, state carried from window to window.
+
+        `memory` keeps the optimiser's moments from call to call.
+        """
         length = len(stream) // lanes
         if length < 2:
             return
         tokens = stream[: lanes * length].reshape(lanes, length)
-        p, h, moments, t = self.p, self.hidden, {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in self.p.items()}, 0
+        memory = {} if memory is None else memory
+        p, h, t = self.p, self.hidden, memory.setdefault("t", 0)
+        moments = memory.setdefault("moments", {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in p.items()})
         for _ in range(passes):
             state = np.zeros((lanes, h), np.float32)
             for start in range(0, length - 1, window):
@@ -156,19 +164,19 @@ class Network:
                 flat, goal = np.concatenate(states), outs.T.reshape(-1)
                 kind, place, n = goal // self.width, goal % self.width, len(goal)
                 outer = _soft(flat @ p["class_w"] + p["class_b"])
-                inner = _soft(np.einsum("nhs,nh->ns", p["word_w"][kind], flat) + p["word_b"][kind])
                 outer[np.arange(n), kind] -= 1
-                inner[np.arange(n), place] -= 1
-                back = (outer @ p["class_w"].T + np.einsum("nhs,ns->nh", p["word_w"][kind], inner)) / n
-                picked = np.zeros((self.classes, n), np.float32)
-                picked[kind, np.arange(n)] = 1 / n
-                grads = {
-                    "class_w": flat.T @ outer / n,
-                    "class_b": outer.sum(0) / n,
-                    "word_w": (picked @ np.einsum("nh,ns->nhs", flat, inner).reshape(n, -1)).reshape(p["word_w"].shape),
-                    "word_b": picked @ inner,
-                    "across": np.zeros_like(p["across"]),
-                }
+                back = outer @ p["class_w"].T
+                grads = {k: np.zeros_like(p[k]) for k in ("word_w", "word_b", "across")}
+                grads["class_w"], grads["class_b"] = flat.T @ outer / n, outer.sum(0) / n
+                order = np.argsort(kind, kind="stable")
+                cuts = np.searchsorted(kind[order], np.arange(self.classes + 1))
+                for c in np.flatnonzero(np.diff(cuts)):
+                    at = order[cuts[c] : cuts[c + 1]]
+                    inner = _soft(flat[at] @ p["word_w"][c] + p["word_b"][c])
+                    inner[np.arange(len(at)), place[at]] -= 1
+                    back[at] += inner @ p["word_w"][c].T
+                    grads["word_w"][c], grads["word_b"][c] = flat[at].T @ inner / n, inner.sum(0) / n
+                back /= n
                 fed_back = np.zeros((steps, lanes, 3 * h), np.float32)
                 flow = np.zeros((lanes, h), np.float32)
                 for k in range(steps - 1, -1, -1):
@@ -190,6 +198,7 @@ class Network:
                     first += 0.1 * (g - first)
                     second += 0.01 * (g * g - second)
                     p[name] -= (rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+        memory["t"] = t
 
 
 def _log_sum(x: np.ndarray) -> np.ndarray:
@@ -215,7 +224,70 @@ def frequent(counts: DataFrame, most: int) -> list:
     return [] if least is None else sorted(real.where(step >= least).collect(), key=lambda r: (-r.n, r.word))
 
 
-def score(docs: DataFrame, held_out: int = 7, remainder: int = 2, model_words: int = 2000, known_words: int = 200_000, train_docs: int = 1200, window: int = 64) -> DataFrame:
+def _averaged(rows: list[tuple[int, bytes]]) -> tuple[int, bytes]:
+    """(tokens, weights) of several tasks as one, by their tokens."""
+    tokens = sum(n for n, _ in rows)
+    return tokens, sum(np.frombuffer(w, np.float32).astype(np.float64) * (n / tokens) for n, w in rows).astype(np.float32).tobytes()
+
+
+def fit(network: Network, train: DataFrame, token_ids: Callable[[str], np.ndarray], rounds: int = 4) -> int:
+    """Train `network` on every row of `train` (doc_id, text); the number of tokens it was trained on."""
+    context, shapes, seen = train.sparkSession.sparkContext, {k: v.shape for k, v in network.p.items()}, 0
+
+    def put(net: Network, weights: bytes) -> None:
+        flat, at = np.frombuffer(weights, np.float32), 0
+        for name, shape in shapes.items():
+            size = int(np.prod(shape))
+            net.p[name] = flat[at : at + size].reshape(shape).copy()
+            at += size
+
+    def one(tokens: int, weights: bytes) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([weights], pa.binary())], ["tokens", "weights"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [(r["tokens"], r["weights"]) for b in batches for r in b.to_pylist()]
+        if rows:
+            yield one(*_averaged(rows))
+
+    for turn in range(rounds):
+        shared = context.broadcast(network)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            net, memory, held, size, total = copy.deepcopy(shared.value), {}, [], 0, 0
+
+            def learn() -> None:
+                stream = np.concatenate(held)
+                lanes = int(np.clip(len(stream) // 500, 4, 256))
+                net.train(np.append(stream, np.full(-len(stream) % lanes, END, np.int32)), lanes, memory=memory)
+                held.clear()
+
+            for batch in batches:
+                for text in batch.column(0).to_pylist():
+                    held.append(token_ids(text))
+                    size += len(held[-1])
+                    total += len(held[-1])
+                    if size >= BLOCK:
+                        learn()
+                        size = 0
+            if held:
+                learn()
+            if total:
+                yield one(total, b"".join(np.ascontiguousarray(v, np.float32).tobytes() for v in net.p.values()))
+
+        shape = "tokens long, weights binary"
+        part = train.where(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(rounds)) == turn).select("text")
+        found = written(part.mapInArrow(run, shape))
+        while (n := found.count()) > FAN_IN:
+            found = written(found.repartition(-(-n // FAN_IN)).mapInArrow(join, shape))
+        if n:
+            tokens, weights = _averaged([(r.tokens, bytes(r.weights)) for r in found.collect()])
+            put(network, weights)
+            seen += tokens
+        shared.unpersist()
+    return seen
+
+
+def score(docs: DataFrame, held_out: int = 7, remainder: int = 2, model_words: int = 2000, known_words: int = 200_000, rounds: int = 4, window: int = 64) -> DataFrame:
     """One row per document: tokens, known tokens, the training total, base score and the model's score (log10)."""
     session = docs.sparkSession
     given = docs.select("doc_id", (id_bucket(held_out) == remainder).alias("held_out"), text_or_empty().alias("text"))
@@ -231,17 +303,12 @@ def score(docs: DataFrame, held_out: int = 7, remainder: int = 2, model_words: i
     network = Network([ends, others, *(r.n for r in own)])
     size = len(own)
 
-    def token_ids(text: str) -> np.ndarray:
-        found = np.array([known.get(w, -1) for w in words(text)] + [-2], np.int64)
-        return np.where((found >= 0) & (found < size), found + 2, np.where(found == -2, END, OTHER)).astype(np.int32)
+    own_ids = {r.word.encode(): i + 2 for i, r in enumerate(own)}
 
-    def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([token_ids(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "ids"])
+    def token_ids(text: str) -> np.ndarray:
+        return np.array([own_ids.get(w, OTHER) for w in words(text)] + [END], np.int32)
 
-    sample = train.where(share(ends, train_docs)).select("doc_id", "text").mapInArrow(streams, "doc_id long, ids binary").collect()
-    if sample:
-        network.train(np.frombuffer(b"".join(r.ids for r in sorted(sample, key=lambda r: (r.doc_id is None, r.doc_id or 0))), np.int32))
+    fit(network, train, token_ids, rounds)
     base_norm, other_norm = np.log10(total + kinds + 1), np.log10(others + other_kinds + 1)
     model = session.sparkContext.broadcast((network, known, known_n))
 

@@ -111,3 +111,13 @@ def test_vectors_equal_brute_force(spark):
     assert found >= 0.98 * (near.sum() - n)
     assert sum(got[i].component_id == label[i] for i in range(n)) >= 0.98 * n
     assert all(got[i].n_links == 0 and got[i].kept and got[i].component_id == i for i in range(n, n + 5)) and len(got) == n + 5
+
+
+def test_recurrent_trains_on_every_document(spark):
+    rows = [(i if i % 3 else None, "a b " * (i % 4) + "c") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    net = recurrent.Network([3000, 3000, 3000])
+    before = net.p["embed"].copy()
+    seen = recurrent.fit(net, df, lambda text: np.array([2 if w == b"c" else 1 for w in recurrent.words(text)] + [0], np.int32))
+    assert seen == sum(len(t.split()) + 1 for _, t in rows)
+    assert not np.array_equal(before, net.p["embed"])
