@@ -2,7 +2,8 @@
 
 A text is cut before each single blank that a non-blank follows. The split pattern never matches across such a
 place, so the pieces encode on their own and their ids joined are the ids of the text; each distinct piece is
-encoded once while it stays in a bounded cache. Texts with other runs of white space are cut by a slower rule.
+encoded once while it stays in a bounded cache (two generations, so that what is still in use outlives a full one).
+Texts with other runs of white space are cut by a slower rule.
 
 Null text counts as empty: no ids. Very long texts without blanks are encoded in one call and not cached.
 """
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import re
 from array import array
 from collections.abc import Callable, Iterator
@@ -22,7 +24,6 @@ from pyspark.sql import DataFrame
 from candor.llm.common import text_or_empty
 
 _CUT = re.compile(r" (?=\S)")
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 class Pieces:
@@ -31,14 +32,15 @@ class Pieces:
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 250_000, longest: int = 48):
         self.encode, self.most, self.longest = encode, most, longest
         self.after: dict[str, bytes] = {}  # ids of " " + key
+        self.before: dict[str, bytes] = {}  # the last full generation
 
     def _packed(self, texts: list[str]) -> list[bytes]:
         return [array("I", ids).tobytes() for ids in self.encode(texts)] if texts else []
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        known = self.after
-        if len(known) > self.most:
-            known.clear()
+        if len(self.after) > self.most:
+            self.before, self.after = self.after, {}
+        known, older = self.after, self.before
         cuts = [t.split(" ") for t in texts]
         new = set()
         for cut in cuts:
@@ -48,10 +50,13 @@ class Pieces:
         if odd:
             for i, cut in enumerate(cuts):
                 if not odd.isdisjoint(cut[1:]):
-                    cuts[i] = again = _CUT.split(texts[i])
-                    new.update(again[1:])
+                    cuts[i] = cut = _CUT.split(texts[i])
+                    new.update(cut[1:])
             new -= odd
             new.difference_update(known)
+        again = new & older.keys()
+        known.update((x, older[x]) for x in again)
+        new -= again
         fresh = [x for x in new if len(x) <= self.longest]
         known.update(zip(fresh, self._packed([" " + x for x in fresh]), strict=True))
         long = [x for x in new if len(x) > self.longest]
@@ -95,6 +100,7 @@ def tokenizer_of(ranks: dict[bytes, int]):
     Any two neighbours whose bytes joined are in the vocabulary merge, the lowest rank first; a match that is
     itself in the vocabulary is one token.
     """
+    from public_tokenizers import PATTERN
     from tokenizers import Regex, Tokenizer, decoders, models, pre_tokenizers
 
     chars = byte_chars()
@@ -118,6 +124,7 @@ _HELD: dict[str, tuple[Pieces, list[bytes]]] = {}
 def codec(path: str) -> tuple[Pieces, list[bytes]]:
     """This process's encoder for a rank file, and the bytes of each id."""
     if path not in _HELD:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         ranks = rank_file(path)
         made = tokenizer_of(ranks)
         table = [b""] * (max(ranks.values()) + 1)

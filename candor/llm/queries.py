@@ -21,7 +21,7 @@ def vocabulary(name: str) -> str:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(documents(spark, sf_dir), vocabulary("byte_bpe_50k.tiktoken"))
+    return packing.pack(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
