@@ -11,6 +11,11 @@ within a group are made. A group holds at most the ball around its variant, howe
 Screening first: fingerprints that differ in at most three bits agree in one half up to one bit, so only those
 that meet another on a half (with or without one flipped bit) emit variants of the whole word.
 
+`groups` links by one fingerprint, as the query op3_simhash does. A Jaccard of 0.8 is out of its reach: two such texts
+differ in about ten of 64 bits. `near_copies` therefore takes `tables` independent fingerprints of 32 bits over the
+set of five-word shingles, links those within two bits of each other in any table by the same ball hashing (all
+variants within one bit of each side), and keeps a link only if the exact Jaccard of the two sets is `least` or more.
+
 Null and empty texts have fingerprint zero and link like any other. Rows with equal ids are kept apart; a null id
 is never the smallest of its group, unless all are null.
 """
@@ -24,10 +29,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candor.llm.common import least_rows, numbered, saved, text_or_empty
+from candor.llm.common import least_rows, numbered, saved, text_or_empty, written
 from candor.llm.components import components
 
 
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many rows of an array of 64-bit words have each bit, all words of a row in turn."""
+    total = np.zeros(64 * hashes.shape[1], np.int64)
+    for a in range(0, len(hashes), 255):  # so many that a byte holds the count
+        rows = np.ascontiguousarray(hashes[a : a + 255])
+        total += np.add.reduce(np.unpackbits(rows.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return total
+
+
 def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
     """Bits set in over half of the hashes of the text's shingles, as a signed 64-bit integer."""
     from xxhash import xxh64_intdigest
@@ -41,7 +55,7 @@ def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
         block = found[at : at + 65536 + words - 1]
         shingles = map(b" ".join, zip(*(block[i:] for i in range(words)), strict=False)) if len(found) >= words else [b" ".join(found)]
         hashes = np.fromiter((xxh64_intdigest(s, seed) for s in shingles), np.uint64)
-        total += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        total += bit_counts(hashes[:, None])
     bits = np.packbits(2 * total > n, bitorder="little")
     return int(bits.view("<i8")[0])
 
@@ -129,3 +143,129 @@ def keep_one(docs: DataFrame) -> DataFrame:
     ids = given.select(F.col("kept_row").alias("of"), "doc_id")
     kept = least_rows(found.join(ids.hint("merge"), F.col("row") == F.col("of")), "component_id").select(F.col("row").alias("least_row"))
     return given.join(kept.hint("merge"), F.col("kept_row") == F.col("least_row"), "left_semi").drop("kept_row")
+
+
+# Near copies: several short fingerprints and exact Jaccard.
+
+_P = np.uint64(0x9E3779B97F4A7C15)
+
+
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        from xxhash import xxh64_intdigest
+
+        if len(self) > 200_000:
+            self.clear()
+        found = self[word] = xxh64_intdigest(word, 42)
+        return found
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+def shingles(found: list[bytes], words: int, hashes: dict) -> np.ndarray:
+    """The distinct hashes of a text's shingles, ascending."""
+    if not found:
+        return np.zeros(0, np.uint64)
+    each = np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found))
+    wide = min(words, len(each))
+    total = np.full(len(each) - wide + 1, wide, np.uint64)
+    for i in range(wide):
+        total = _mixed(total * _P + each[i : len(each) - wide + 1 + i])
+    return np.unique(total)
+
+
+def prints(found: np.ndarray, tables: int) -> np.ndarray:
+    """The fingerprint of 32 bits of each table, below the table's number; none for an empty set."""
+    if not len(found):
+        return np.zeros(0, np.int64)
+    wide = (tables + 1) // 2
+    total = np.zeros(64 * wide, np.int64)
+    with np.errstate(over="ignore"):
+        salts = _mixed(np.arange(1, wide + 1, dtype=np.uint64) * _P)
+    for a in range(0, len(found), 8192):
+        total += bit_counts(_mixed((found[a : a + 8192, None] ^ salts) * _P))
+    bits = np.packbits(2 * total > len(found), bitorder="little").view("<u4")[:tables].astype(np.int64)
+    return bits | np.arange(tables, dtype=np.int64) << 32
+
+
+def _signed(docs: DataFrame, words: int, tables: int) -> DataFrame:
+    """row, doc_id, the 128-bit hash of the word sequence (high, low) and the fingerprints of each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_intdigest
+
+        hashes = _Hashes()
+        for batch in batches:
+            high, low, keys = [], [], []
+            for text in batch.column(2).to_pylist():
+                found = text.encode("utf-8", "replace").lower().split()
+                whole = xxh3_128_intdigest(b" ".join(found)).to_bytes(16, "little")
+                high.append(int.from_bytes(whole[8:], "little", signed=True))
+                low.append(int.from_bytes(whole[:8], "little", signed=True))
+                keys.append(prints(shingles(found, words, hashes), tables))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["row", "doc_id", "high", "low", "prints"])
+
+    return docs.select(F.col("kept_row").alias("row"), "doc_id", text_or_empty().alias("text")).mapInArrow(run, "row long, doc_id long, high long, low long, prints array<long>")
+
+
+def _sets(docs: DataFrame, words: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        for batch in batches:
+            for a in range(0, batch.num_rows, 512):
+                part = batch.slice(a, 512)
+                found = [shingles(t.encode("utf-8", "replace").lower().split(), words, hashes).view(np.int64) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], ["row", "found"])
+
+    return docs.mapInArrow(run, "row long, found array<long>")
+
+
+def candidates(placed: DataFrame) -> DataFrame:
+    """(row, prints) to distinct pairs (a, b) of rows that meet on a variant, each with one of three hubs of it.
+
+    All that meet on a variant are within two bits of one another in its table. The hubs are the first row, the last and
+    one drawn by the variant, so that no pairs within a group are made and the number of pairs follows that of variants.
+    """
+    flips = _masks(ONE[:33])
+    met = placed.select("row", F.explode("prints").alias("print")).select("row", F.explode(F.transform(flips, lambda m: F.col("print").bitwiseXOR(m))).alias("key"))
+    mask = F.col("key").bitwiseAND(F.lit((1 << 62) - 1))
+    hubs = met.groupBy("key").agg(F.min("row").alias("first"), F.max("row").alias("last"), F.min(F.col("row").bitwiseXOR(mask)).alias("drawn"), F.count("*").alias("n"))
+    hubs = hubs.where("n > 1").select("key", F.array("first", "last", F.col("drawn").bitwiseXOR(mask)).alias("hubs"))
+    pairs = met.join(hubs.hint("merge"), "key").select("row", F.explode(F.array_distinct("hubs")).alias("hub")).where("row != hub")
+    return pairs.select(F.least("row", "hub").alias("a"), F.greatest("row", "hub").alias("b")).distinct()
+
+
+def verified(pairs: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
+    """The pairs whose sets of shingles have a Jaccard of `least` or more."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("asked")).distinct()
+    texts = docs.select(F.col("kept_row").alias("row"), text_or_empty().alias("text")).join(asked.hint("merge"), F.col("row") == F.col("asked"), "left_semi")
+    sets = written(_sets(texts, words))
+    left, right = sets.select(F.col("row").alias("a"), F.col("found").alias("x")), sets.select(F.col("row").alias("b"), F.col("found").alias("y"))
+    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
+    both = both.select("a", "b", (F.size("x") + F.size("y")).alias("sizes"), F.size(F.array_intersect("x", "y")).alias("common"))
+    return both.where(F.col("common") >= F.lit(least) * (F.col("sizes") - F.col("common"))).select("a", "b")
+
+
+def near_copies(given: DataFrame, words: int = 5, least: float = 0.8, tables: int = 16) -> DataFrame:
+    """Numbered documents to the rows that come first in their class of equal word sequences: row, doc_id, root of the group.
+
+    Texts of fewer than `words` words are one shingle; null and empty texts are one class, and have no fingerprint.
+    """
+    signed = written(_signed(given, words, tables))
+    classes = saved(least_rows(signed, "high", "low"))
+    placed = signed.select("row", "prints").join(classes.select(F.col("row").alias("of")).hint("merge"), F.col("row") == F.col("of"), "left_semi")
+    tree = components(verified(saved(candidates(placed)), given, words, least))
+    return classes.join(tree.hint("merge"), F.col("row") == F.col("node"), "left").select("row", "doc_id", F.coalesce("root", "row").alias("root"))
+
+
+def without_near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, tables: int = 16) -> DataFrame:
+    """Of each group of near copies (Jaccard of `words`-word shingles) the row with the smallest id; a null id only if all are null.
+
+    Rows are told apart by a number, so null or repeated ids never merge rows of different groups.
+    """
+    given = numbered(docs)
+    kept = least_rows(near_copies(given, words, least, tables), "root").select(F.col("row").alias("least_row"))
+    return given.join(kept.hint("merge"), F.col("kept_row") == F.col("least_row"), "left_semi").drop("kept_row")
