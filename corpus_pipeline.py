@@ -2,15 +2,15 @@
 
 Each stage gets the documents that the one before kept, as a table read back from Parquet; all but the last return
 the columns of documents. Language ID drops documents in no language of the model; toxicity drops those scored 0.5
-or more, learning from labels; of each group of near duplicates (five-word shingles, Jaccard 0.8 or more) the one with
-the smallest id stays; personal data is replaced by its kind; what is left is cut into windows of 2048 tokens.
+or more, learning from labels; of each group of near duplicates (SimHash over five-word shingles, links of an exact
+Jaccard of 0.8 or more) the one with the smallest id stays; personal data is replaced by its kind; what is left is cut into windows of 2048 tokens.
 
 Null and empty texts go at the first stage (they have no language). Empty tables give empty tables.
 """
 
 from __future__ import annotations
 
-from candor.llm import copies, langid, packing, pii, toxicity
+from candor.llm import langid, packing, pii, simhash, toxicity
 from candor.llm.common import written
 from candor.llm.queries import vocabulary
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +25,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return copies.keep_one(docs)
+    return simhash.without_near_copies(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
