@@ -33,3 +33,29 @@ def hashed(texts: list[bytes], order: int, bits: int) -> tuple[np.ndarray, np.nd
         at = ends - i
         whole[at[sizes >= i]] = False
     return ids[whole], counts
+
+
+def characters(texts: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the n-grams of code points of each text between two single blanks, and the number of each text's.
+
+    Texts follow one another in the first array. No n-gram reaches into another text.
+    """
+    sizes = np.array([len(t) + 2 for t in texts], np.int64)
+    data = np.frombuffer("".join(f" {t} " for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    counts = np.maximum(sizes - order + 1, 0)
+    total = int(sizes.sum()) - order + 1
+    if total <= 0:
+        return np.zeros(0, np.uint64), counts
+    code = np.zeros(total, np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(order):
+            code = (code + data[i : total + i]) * np.uint64(0x9E3779B97F4A7C15)
+            code ^= code >> np.uint64(29)
+        code *= np.uint64(0xBF58476D1CE4E5B9)
+    whole = np.ones(total, bool)
+    ends = np.cumsum(sizes)
+    for i in range(1, order):
+        at = ends - i
+        at = at[(sizes >= i) & (at < total)]
+        whole[at] = False
+    return code[whole], counts

@@ -44,15 +44,55 @@ def test_language(spark, docs):
     assert langid.predict(docs.limit(0)).count() == 0
 
 
-def test_filters_hold_all_they_were_given():
-    rng = np.random.default_rng(0)
-    grams = {f"l{i}": rng.integers(0, 1 << langid.BITS, 500) for i in range(70)}  # more languages than one word has bits
-    made = langid.Filters(grams, sorted(grams))
-    for i, lang in enumerate(made.langs):
-        held = np.full(500, True)
-        for at in langid.slots(grams[lang]):
-            held &= (made.masks[i // 64][at] >> np.uint64(i % 64) & np.uint64(1)).astype(bool)
-        assert held.all()
+def test_letters_are_unicode_letters(spark, docs):
+    made = langid.fit(docs)
+    assert made.predict(["² ½", "①②", "Ⅷ", "123 !!", "", "_"])[0] == ["und"] * 6
+    assert made.predict(["日本", "é", "the thing"])[0][2] == "en" and "und" not in made.predict(["日本", "é"])[0]
+
+
+def test_language_equals_brute_force(spark, docs):
+    """The same rule with dictionaries of n-grams instead of filters."""
+    counts: dict[str, Counter] = {}
+    rows = docs.collect()
+
+    def grams(text):
+        found = "".join(c if ord(c) >= 128 or c.isalpha() else " " for c in (text or "").lower()).encode()
+        found = b"  " + found + b"  "
+        return [found[i : i + 4] for i in range(len(found) - 3)]
+
+    for r in rows:
+        if r.lang and zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            counts.setdefault(r.lang, Counter()).update(grams(r.text))
+    totals = {x: sum(c.values()) for x, c in counts.items()}
+    top = Counter()
+    for x, c in counts.items():
+        for g, n in c.items():
+            top[g] = max(top[g], n / totals[x])
+    got = Counter()
+    answers = Counter((r.doc_id, r.lang_pred, round(r.score, 1)) for r in langid.predict(docs).collect())
+    near = Counter((r.doc_id, r.lang_pred) for r in langid.predict(docs).collect())
+    for r in rows:
+        own = grams(r.text)
+        hits = {x: sum(c[g] / totals[x] >= top[g] * 0.25 and c[g] > 0 for g in own) for x, c in counts.items()}
+        best = min(hits, key=lambda x: (-hits[x], x))
+        got[(r.doc_id, best if any(c.isalpha() for c in r.text or "") else "und")] += 1
+    assert sum((got & near).values()) >= 0.99 * len(rows) and sum(answers.values()) == len(rows)
+
+
+def test_filters_hold_all_they_were_given(spark):
+    """More languages than one word has bits, and more than a task counts at once."""
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(110 - i % 26 % 13)}q" * 9, f"l{i:02}") for i in range(70)] * 2
+    made = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1), remainder=9)
+    assert len(made.langs) == 70 and made.masks.shape[0] == 2
+    names, scores = made.predict([t for _, t, _ in rows])
+    assert sum(n == x for n, (_, _, x) in zip(names, rows)) >= 0.95 * len(rows) and min(scores) > 0.7
+
+
+def test_slots_are_the_same_on_spark(spark):
+    ids = np.arange(0, 1 << 20, 997)
+    df = spark.createDataFrame([(int(i),) for i in ids], "id int")
+    got = {r.id: r.s for r in df.select("id", langid._slots(df.id, 17).alias("s")).collect()}
+    assert [tuple(got[int(i)]) for i in ids] == list(zip(*(a.tolist() for a in langid.slots(ids, 17))))
 
 
 def test_toxicity(spark, docs):
@@ -66,6 +106,36 @@ def test_toxicity(spark, docs):
     assert toxicity.score(docs, labels.limit(0)).count() == 605
 
 
+def test_toxicity_equals_brute_force(spark, docs):
+    labels = spark.createDataFrame([(i, int(i % 6 == 0)) for i in range(600)], "doc_id long, toxic int")
+    rows, marks, sample = docs.collect(), {i: int(i % 6 == 0) for i in range(600)}, []
+    grams = lambda t: {f" {(t or '').lower()} "[i : i + k] for k in (4, 5) for i in range(len(t or "") + 3 - k)}
+    sample = [(grams(r.text), marks[r.doc_id]) for r in rows if r.doc_id in marks and zlib.crc32(str(r.doc_id).encode()) % 5]
+    n1 = sum(m for _, m in sample)
+    n0 = len(sample) - n1
+    clean, bad = Counter(), Counter()
+    for own, m in sample:
+        (bad if m else clean).update(own)
+    ratio = {g: math.log((bad[g] + 0.5) / (n1 + 1)) - math.log((clean[g] + 0.5) / (n0 + 1)) for g in clean.keys() | bad.keys() if bad[g] + clean[g] >= 3}
+    ratio = {g: r for g, r in ratio.items() if abs(r) / math.sqrt(1 / (bad[g] + 0.5) + 1 / (clean[g] + 0.5)) >= 4}
+    names = sorted(ratio)
+    at = {g: i for i, g in enumerate(names)}
+    pairs = np.array([(i, at[g]) for i, (own, _) in enumerate(sample) for g in own if g in at])
+    weights, bias = toxicity.logistic(pairs[:, 0], pairs[:, 1], np.array([ratio[g] for g in names]), np.array([float(m) for _, m in sample]))
+    want = sorted((r.doc_id, round(1 / (1 + math.exp(-bias - sum(weights[at[g]] for g in grams(r.text) if g in at))), 6)) for r in rows)
+    got = sorted((r.doc_id, round(r.score, 6)) for r in toxicity.score(docs, labels).collect())
+    assert len(names) > 10 and all(a[0] == b[0] and abs(a[1] - b[1]) < 1e-5 for a, b in zip(got, want))
+
+
+def test_labels_of_one_class_filter_nothing(spark, docs):
+    for mark in (0, 1):
+        labels = spark.createDataFrame([(i, mark) for i in range(600)], "doc_id long, toxic int")
+        assert toxicity.without_toxic(docs, labels).count() == 605
+    nulls = docs.selectExpr("cast(null as long) as doc_id", "text", "lang", "source", "score")
+    labels = spark.createDataFrame([(i, int(i % 6 == 0)) for i in range(600)], "doc_id long, toxic int")
+    assert toxicity.without_toxic(nulls.unionByName(docs), labels).where("doc_id is null").count() > 400
+
+
 def test_recurrent_base_is_exact_and_the_model_is_better(spark, docs):
     rows = recurrent.score(docs, model_words=20, known_words=60).collect()
     texts = [(r.doc_id, (r.text or "").encode().lower().split() + [b""]) for r in docs.collect()]
