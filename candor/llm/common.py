@@ -30,10 +30,13 @@ def share(rows: int, bound: int, column: str = "doc_id") -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that the session names; only where none is named (tests on one machine) a temporary one."""
+    """The checkpoint folder that the session names; only where none is named and all is one machine a temporary one."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return context.getCheckpointDir()
 
 
@@ -59,3 +62,15 @@ def least_rows(rows: DataFrame, *by: str) -> DataFrame:
     """row and doc_id of the first of each group by (doc_id, row); null ids come last."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")
     return rows.groupBy(*by).agg(first).select("first.row", "first.doc_id")
+
+
+def met(rows: DataFrame, facts: DataFrame, left: str, right: str, size: str, total: int) -> DataFrame:
+    """`rows` joined with the one row of `facts` for their key, where `size` is how many of the `total` rows have it.
+
+    Keys of a hundredth of all rows or more are at most a hundred: they are broadcast, so that no task gathers the rows
+    of a hot key. The others meet by a shuffle.
+    """
+    hot = F.col(size) * 100 >= total
+    same = F.col(left) == F.col(right)
+    often = F.broadcast(facts.where(hot))
+    return rows.join(often, same).unionByName(rows.join(often.select(right), same, "left_anti").join(facts.where(~hot).hint("merge"), same))

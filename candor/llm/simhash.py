@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candor.llm.common import least_rows, numbered, saved, text_or_empty, written
+from candor.llm.common import least_rows, met, numbered, saved, text_or_empty, written
 from candor.llm.components import components
 
 
@@ -121,12 +121,13 @@ def linked(fps: DataFrame) -> DataFrame:
 def groups(docs: DataFrame, words: int = 3) -> DataFrame:
     """doc_id, fp, component_id: the smallest id among all documents reachable over links."""
     found = saved(fingerprints(docs, words))
-    distinct = found.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    distinct = saved(found.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    total = distinct.agg(F.sum("n")).first()[0] or 0
     tree = components(linked(distinct.select("fp")))
     of = distinct.join(tree.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     roots = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = saved(of.join(roots, "root").select(F.col("fp").alias("label_fp"), "component_id"))
-    return found.join(labels, F.col("fp") == F.col("label_fp")).select("doc_id", "fp", "component_id")
+    labels = saved(of.join(roots, "root").select(F.col("fp").alias("label_fp"), "component_id", "n"))
+    return met(found, labels, "fp", "label_fp", "n", total).select("doc_id", "fp", "component_id")
 
 
 def digest(docs: DataFrame) -> DataFrame:

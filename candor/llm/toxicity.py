@@ -105,7 +105,7 @@ def logistic(rows: np.ndarray, columns: np.ndarray, scale: np.ndarray, labels: n
     return weights[:-1] * scale, float(weights[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, held_out: int = 5, sample_rows: int = 20_000, least_docs: int = 3, stands_out: float = 4.0) -> tuple[Model, bool]:
+def fit(docs: DataFrame, labels: DataFrame, held_out: int = 5, sample_rows: int = 20_000, least_docs: int = 3, stands_out: float = 3.0) -> tuple[Model, bool]:
     """The model, and whether labels of both classes were there to learn from."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (id_bucket(held_out) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("mark"))
     total = known.count()

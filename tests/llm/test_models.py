@@ -117,7 +117,7 @@ def test_toxicity_equals_brute_force(spark, docs):
     for own, m in sample:
         (bad if m else clean).update(own)
     ratio = {g: math.log((bad[g] + 0.5) / (n1 + 1)) - math.log((clean[g] + 0.5) / (n0 + 1)) for g in clean.keys() | bad.keys() if bad[g] + clean[g] >= 3}
-    ratio = {g: r for g, r in ratio.items() if abs(r) / math.sqrt(1 / (bad[g] + 0.5) + 1 / (clean[g] + 0.5)) >= 4}
+    ratio = {g: r for g, r in ratio.items() if abs(r) / math.sqrt(1 / (bad[g] + 0.5) + 1 / (clean[g] + 0.5)) >= 3}
     names = sorted(ratio)
     at = {g: i for i, g in enumerate(names)}
     pairs = np.array([(i, at[g]) for i, (own, _) in enumerate(sample) for g in own if g in at])
@@ -183,6 +183,36 @@ def test_vectors_equal_brute_force(spark):
     assert all(got[i].n_links == 0 and got[i].kept and got[i].component_id == i for i in range(n, n + 5)) and len(got) == n + 5
 
 
+def brute_links(points, least=0.95):
+    unit = points / np.linalg.norm(points, axis=1, keepdims=True)
+    return unit @ unit.T >= least
+
+
+@pytest.mark.parametrize("fan", [1024, 8])
+def test_probes_find_links_over_many_lists(spark, fan):
+    """Thousands of vectors in hundreds of lists, of one level and of three, against all pairs."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(900, 32))
+    points = np.concatenate([base, *(base + rng.normal(size=base.shape) * s for s in (0.1, 0.15, 0.2, 0.24))])
+    rows = [(i, [float(x) for x in p]) for i, p in enumerate(points)]
+    got = {r.vec_id: r for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), per_list=16, fan=fan).collect()}
+    near = brute_links(points)
+    found, want = sum(r.n_links for r in got.values()), near.sum() - len(points)
+    assert want > 5000 and 0.98 * want <= found <= want
+
+
+def test_vectors_of_rare_lengths_great_size_and_shared_ids(spark):
+    rows = [(0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [2.0, 4.0]), (3, [1e300, 2e300, 3e300]), (4, [2e300, 4e300, 6.1e300]), (5, [1e-310, 2e-310, 3e-310]), (6, []), (None, [5.0, 0.0]), (None, [5.0, 0.0]), (7, [5.0, 0.1])]
+    rows += [(8, [1.0, 0.0, 0.0, 0.0]), (8, [1.0, 0.1, 0.0, 0.0]), (9, [0.0, 0.0, 1.0, 0.0]), (9, [0.0, 1.0, 0.0, 0.0])]
+    got = sorted(vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect(), key=lambda r: (r.vec_id is None, r.vec_id or 0))
+    assert [(r.vec_id, r.n_links, r.component_id, r.kept) for r in got] == [
+        (0, 2, 0, True), (1, 2, 0, False), (2, 2, 0, False), (3, 2, 3, True), (4, 2, 3, False), (5, 2, 3, False), (6, 0, 6, True), (7, 2, 7, True),
+        (8, 1, 8, True), (8, 1, 8, True), (9, 0, 9, True), (9, 0, 9, True), (None, 2, 7, False), (None, 2, 7, False),
+    ]
+    nothing = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert vectors.near_duplicates(nothing).count() == 0
+
+
 def test_recurrent_trains_on_every_document(spark):
     rows = [(i if i % 3 else None, "a b " * (i % 4) + "c") for i in range(3000)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
