@@ -68,4 +68,39 @@ def test_entries_count_only_while_they_are_listed(spark):
         rows = urlfilter.judge(captures, changes, most).collect()
         assert sorted((r.page_id, r.blocked, r.matched_key) for r in rows if r.blocked) == [(2, True, "bad.org"), (2, True, "bad.org"), (4, True, "a.bad.org")]
         assert len(rows) == 8
-    assert urlfilter.judge(captures.limit(0), changes).count() == 0
+    for most in (100, 0):
+        assert urlfilter.judge(captures.limit(0), changes, most).count() == 0
+        assert urlfilter.judge(captures, changes.limit(0), most).where("blocked").count() == 0
+
+
+def test_forms_of_urls_and_keys(spark):
+    day = date(2024, 1, 1)
+    listed = ["a.org/x/", "a.org/x/y/z.html", "a.org/q?b=1", "[2001:db8::1]", "10.0.0.1", "Sub.b.org.", "c.org/"]
+    changes = spark.createDataFrame([(k, "k", "add", day) for k in listed], "key string, category string, listed string, since date")
+    urls = {
+        "http://a.org/x/1.html": "a.org/x/", "https://A.org:8080/x/y/z.html#top": "a.org/x/y/z.html", "http://a.org/x": None, "http://a.org/X/": None, "http://www.a.org/x/1": None,
+        "http://a.org/q?b=1#c": "a.org/q?b=1", "http://a.org/q?b=12": None, "http://a.org./x/?q": "a.org/x/", "http://[2001:DB8::1]:80/": "[2001:db8::1]", "http://10.0.0.1/": "10.0.0.1", "http://1.10.0.0.1/": None,
+        "http://deep.sub.b.org..:1/": "sub.b.org", "http://c.org": "c.org/", "http://c.org?x": "c.org/", "mailto:x@a.org": None, "": None, "http://a.org/x/" + "d/" * 20_000: "a.org/x/",
+    }
+    captures = spark.createDataFrame([(i, u, day, "clash") for i, u in enumerate(urls)], "page_id long, url string, fetched date, key string")
+    for most in (100, 0):
+        got = {r.page_id: r.matched_key for r in urlfilter.judge(captures, changes, most).collect()}
+        assert [got[i] for i in range(len(urls))] == list(urls.values())
+
+
+def test_hot_keys_are_dealt_and_nothing_is_lost(spark):
+    captures = spark.range(6000).selectExpr("id as page_id", "concat('http://', case when id % 3 = 0 then 'hot.example.com' else concat('h', id % 700, '.example.com') end, '/p/', id) as url", "date_add(date'2024-01-01', cast(id % 100 as int)) as fetched")
+    changes = spark.range(1200).selectExpr("case when id < 400 then 'hot.example.com' else concat('h', id, '.example.com/p/') end as key", "concat('c', id % 7) as category", "case when id % 2 = 0 then 'add' else 'remove' end as listed", "date_add(date'2024-01-01', cast(id % 90 as int)) as since")
+    one, two = (sorted(tuple(r) for r in urlfilter.judge(captures, changes, most).select("page_id", "blocked", "matched_key", "category").fillna("-").collect()) for most in (10**6, 0))
+    assert len(one) == 6000 and one == two and sum(r[1] for r in one) > 1000
+
+
+def test_query_equals_its_sql(spark):
+    import duckdb
+
+    d = "/root/testdata/sf0.01"
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW pages AS SELECT * FROM '{d}/pages.parquet'")
+    want = duck.execute(urlfilter.ORACLE).fetchall()
+    got = [tuple(r) for r in urlfilter.digest(spark, d).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and any(r[3] for r in got) and not all(r[3] for r in got)
