@@ -4,8 +4,9 @@ Words of all training documents are counted by a shuffle. The `model_words` most
 token for all other words are what the network predicts; its output softmax is factored into classes of words. The
 network is trained on all training documents, each once: they are dealt by hash over a fixed number of rounds, each
 task trains the round's weights on its documents by truncated backpropagation through time (numpy, a bounded block of
-tokens at a time), and the tasks' weights are averaged by tokens, in a tree, before the next round. Scoring carries each document's state from window to window, so that a text has one likelihood, however
-long; a word outside the model's counts as the token for others times its smoothed share among them.
+tokens at a time), and the tasks' weights are averaged by tokens, in a tree, before the next round. Scoring carries
+each document's state from window to window, so that a text has one likelihood, however long; a word outside the
+model's counts as the token for others times its smoothed share among them.
 
 The counts of the `known_words` most frequent words travel with the tasks (that bound holds at any size); rarer
 words are looked up by a join, one row for each of a document's distinct ones.
@@ -18,6 +19,8 @@ from __future__ import annotations
 import copy
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import repeat
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -57,7 +60,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Network:
     """A gated recurrent layer and a softmax factored into classes, in single precision."""
 
-    def __init__(self, counts: list[int], hidden: int = 16, seed: int = 3):
+    def __init__(self, counts: list[int], hidden: int = 32, seed: int = 3):
         rng = np.random.default_rng(seed)
         n = len(counts)
         self.classes = max(1, int(np.sqrt(n)))
@@ -85,53 +88,65 @@ class Network:
         """The next state from projected inputs, and what the backward pass needs."""
         h = self.hidden
         rec = state @ self.p["across"]
-        gate = 1 / (1 + np.exp(-(fed[:, : 2 * h] + rec[:, : 2 * h])))
-        z, r = gate[:, :h], gate[:, h:]
-        new = np.tanh(fed[:, 2 * h :] + r * rec[:, 2 * h :])
-        return new + z * (state - new), z, r, new, rec[:, 2 * h :]
+        gate = _sigmoid(fed[:, : 2 * h] + rec[:, : 2 * h])
+        z, r, back = gate[:, :h], gate[:, h:], rec[:, 2 * h :]
+        new = r * back
+        new += fed[:, 2 * h :]
+        np.tanh(new, out=new)
+        after = state - new
+        after *= z
+        after += new
+        return after, z, r, new, back
 
     def log_likelihood(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural log-probability of each target after its state."""
         p = self.p
-        kind, place = targets // self.width, targets % self.width
+        kind = (targets // self.width).astype(np.int16)
         order = np.argsort(kind, kind="stable")
-        states, kind, place = states[order], kind[order], place[order]
-        logits = states @ p["class_w"] + p["class_b"]
-        out = logits[np.arange(len(kind)), kind] - _log_sum(logits)
-        cuts = np.searchsorted(kind, np.arange(self.classes + 1))
-        for c in range(self.classes):
+        states, targets, kind = states[order], targets[order], kind[order]
+        logits = states @ p["class_w"]
+        logits += p["class_b"]
+        out = logits[np.arange(len(kind)), kind]
+        out -= _log_sum(logits)
+        place, cuts = targets % self.width, np.searchsorted(kind, np.arange(self.classes + 1))
+        for c in np.flatnonzero(np.diff(cuts)):
             a, b = cuts[c], cuts[c + 1]
-            if a < b:
-                inner = states[a:b] @ p["word_w"][c] + p["word_b"][c]
-                out[a:b] += inner[np.arange(b - a), place[a:b]] - _log_sum(inner)
+            inner = states[a:b] @ p["word_w"][c]
+            inner += p["word_b"][c]
+            own = inner[np.arange(b - a), place[a:b]]
+            own -= _log_sum(inner)
+            out[a:b] += own
         back = np.empty_like(out)
         back[order] = out
         return back
 
-    def score(self, docs: list[np.ndarray], window: int = 64) -> np.ndarray:
-        """Natural log-likelihood of each document: its words, then the end."""
+    def score(self, docs: list[np.ndarray], window: int = 16_384) -> np.ndarray:
+        """Natural log-likelihood of each document: its words, then the end.
+
+        All documents go forward together, the longest longest, and their states from window to window; a window is as
+        many steps as make about so many tokens.
+        """
         p, h = self.p, self.hidden
         fed_of = p["embed"] @ p["into"] + p["gates"]
-        order = np.argsort([-len(d) for d in docs], kind="stable")
-        sizes = np.array([len(docs[i]) for i in order])
-        tokens = np.full((len(docs), int(sizes[0])), END, np.int32)
-        for k, i in enumerate(order):
-            tokens[k, : sizes[k]] = docs[i]
-        total, state, last = np.zeros(len(docs)), np.zeros((len(docs), h), np.float32), np.full(len(docs), END, np.int32)
-        for start in range(0, tokens.shape[1], window):
-            live = int(np.searchsorted(-sizes, -start, side="left"))
-            end = min(start + window, int(sizes[0]))
-            state, last = state[:live], last[:live]
-            states, targets, owner = [], [], []
-            for t in range(start, end):
-                n = int(np.searchsorted(-sizes, -t, side="left"))
-                state[:n] = self.step(fed_of[last[:n]], state[:n])[0]
-                last[:n] = tokens[:n, t]
-                states.append(state[:n].copy())
-                targets.append(tokens[:n, t])
-                owner.append(np.arange(n))
+        sizes = np.array([len(d) for d in docs], np.int64)
+        order = np.argsort(-sizes, kind="stable")
+        flat, starts = np.concatenate(docs), (np.cumsum(sizes) - sizes)[order]
+        sizes = sizes[order]
+        total, state, last, t = np.zeros(len(docs)), np.zeros((len(docs), h), np.float32), np.full(len(docs), END, np.int32), 0
+        while len(sizes) and t < sizes[0]:
+            n = int(np.searchsorted(-sizes, -t, side="left"))
+            states, targets, lives = [], [], []
+            for t in range(t, min(t + max(1, window // n), int(sizes[0]))):  # noqa: B020
+                n = int(np.searchsorted(-sizes[:n], -t, side="left"))
+                state = self.step(fed_of[last[:n]], state[:n])[0]
+                last = flat[starts[:n] + t]
+                states.append(state)
+                targets.append(last)
+                lives.append(n)
+            t += 1
             found = self.log_likelihood(np.concatenate(states), np.concatenate(targets))
-            total[:live] += np.bincount(np.concatenate(owner), found, minlength=live)
+            owner = np.concatenate([np.arange(n) for n in lives])
+            total[: lives[0]] += np.bincount(owner, found, minlength=lives[0])
         out = np.zeros(len(docs))
         out[order] = total
         return out
@@ -144,71 +159,109 @@ class Network:
         length = len(stream) // lanes
         if length < 2:
             return
-        tokens = stream[: lanes * length].reshape(lanes, length)
+        tokens = np.ascontiguousarray(stream[: lanes * length].reshape(lanes, length).T)
         memory = {} if memory is None else memory
-        p, h, t = self.p, self.hidden, memory.setdefault("t", 0)
+        p, t = self.p, memory.setdefault("t", 0)
         moments = memory.setdefault("moments", {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in p.items()})
         for _ in range(passes):
-            state = np.zeros((lanes, h), np.float32)
+            state = np.zeros((lanes, self.hidden), np.float32)
             for start in range(0, length - 1, window):
-                outs = tokens[:, start + 1 : start + window + 1]
-                steps = outs.shape[1]
-                ins = tokens[:, start : start + steps]
-                fed_of = p["embed"] @ p["into"] + p["gates"]
-                kept, states = [], []
-                for k in range(steps):
-                    before = state
-                    state, z, r, new, rec = self.step(fed_of[ins[:, k]], before)
-                    kept.append((before, z, r, new, rec))
-                    states.append(state)
-                flat, goal = np.concatenate(states), outs.T.reshape(-1)
-                kind, place, n = goal // self.width, goal % self.width, len(goal)
-                outer = _soft(flat @ p["class_w"] + p["class_b"])
-                outer[np.arange(n), kind] -= 1
-                back = outer @ p["class_w"].T
-                grads = {k: np.zeros_like(p[k]) for k in ("word_w", "word_b", "across")}
-                grads["class_w"], grads["class_b"] = flat.T @ outer / n, outer.sum(0) / n
-                order = np.argsort(kind, kind="stable")
-                cuts = np.searchsorted(kind[order], np.arange(self.classes + 1))
-                for c in np.flatnonzero(np.diff(cuts)):
-                    at = order[cuts[c] : cuts[c + 1]]
-                    inner = _soft(flat[at] @ p["word_w"][c] + p["word_b"][c])
-                    inner[np.arange(len(at)), place[at]] -= 1
-                    back[at] += inner @ p["word_w"][c].T
-                    grads["word_w"][c], grads["word_b"][c] = flat[at].T @ inner / n, inner.sum(0) / n
-                back /= n
-                fed_back = np.zeros((steps, lanes, 3 * h), np.float32)
-                flow = np.zeros((lanes, h), np.float32)
-                for k in range(steps - 1, -1, -1):
-                    before, z, r, new, rec = kept[k]
-                    d = back[k * lanes : (k + 1) * lanes] + flow
-                    d_new = d * (1 - z) * (1 - new**2)
-                    d_z, d_r = d * (before - new) * z * (1 - z), d_new * rec * r * (1 - r)
-                    d_rec = np.concatenate([d_z, d_r, d_new * r], axis=1)
-                    fed_back[k] = np.concatenate([d_z, d_r, d_new], axis=1)
-                    grads["across"] += before.T @ d_rec
-                    flow = d * z + d_rec @ p["across"].T
-                rows = np.zeros_like(fed_of)
-                np.add.at(rows, ins.T.reshape(-1), fed_back.reshape(-1, 3 * h))
-                grads["gates"], grads["into"], grads["embed"] = rows.sum(0), p["embed"].T @ rows, rows @ p["into"].T
+                goal = tokens[start + 1 : start + window + 1]
+                grads, state = self.gradients(tokens[start : start + len(goal)], goal, state)
                 t += 1
                 for name, g in grads.items():
                     first, second = moments[name]
-                    g = np.clip(g, -1, 1)
-                    first += 0.1 * (g - first)
-                    second += 0.01 * (g * g - second)
-                    p[name] -= (rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+                    np.clip(g, -1, 1, out=g)
+                    first *= 0.9
+                    first += 0.1 * g
+                    g *= g
+                    second *= 0.99
+                    second += 0.01 * g
+                    size = np.sqrt(second)
+                    size *= np.float32(1 / np.sqrt(1 - 0.99**t))
+                    size += np.float32(1e-8)
+                    p[name] -= np.float32(rate / (1 - 0.9**t)) * first / size
         memory["t"] = t
 
+    def gradients(self, ins: np.ndarray, goal: np.ndarray, state: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """Of the mean loss over a window (steps, lanes) of tokens and those that follow them, by each weight; and the state after it."""
+        p, h = self.p, self.hidden
+        steps, lanes = ins.shape
+        ins = ins.reshape(-1)
+        fed = (p["embed"] @ p["into"] + p["gates"])[ins].reshape(steps, lanes, 3 * h)
+        kept = []
+        for k in range(steps):
+            before = state
+            state, z, r, new, rec = self.step(fed[k], before)
+            kept.append((before, z, r, new, rec, state))
+        back, grads = self._output(np.concatenate([x[5] for x in kept]), goal.reshape(-1))
+        fed_back, rec_back = np.empty_like(fed), np.empty_like(fed)
+        flow, across = np.zeros_like(state), p["across"].T.copy()
+        for k in range(steps - 1, -1, -1):
+            before, z, r, new, rec, _ = kept[k]
+            d = back[k * lanes : (k + 1) * lanes] + flow
+            keep = d * z
+            d_new = (d - keep) * (1 - new * new)
+            fed_back[k, :, :h] = keep * (before - new) * (1 - z)
+            fed_back[k, :, h : 2 * h] = d_new * rec * r * (1 - r)
+            fed_back[k, :, 2 * h :] = d_new
+            rec_back[k, :, : 2 * h] = fed_back[k, :, : 2 * h]
+            rec_back[k, :, 2 * h :] = d_new * r
+            flow = keep + rec_back[k] @ across
+        grads["across"] = np.concatenate([x[0] for x in kept]).T @ rec_back.reshape(-1, 3 * h)
+        order = np.argsort(ins, kind="stable")
+        words, first = np.unique(ins[order], return_index=True)
+        sums = np.add.reduceat(fed_back.reshape(-1, 3 * h)[order], first, axis=0)
+        grads["gates"], grads["into"] = sums.sum(0), p["embed"][words].T @ sums
+        grads["embed"] = np.zeros_like(p["embed"])
+        grads["embed"][words] = sums @ p["into"].T
+        return grads, state
+
+    def _output(self, states: np.ndarray, goal: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """The loss's gradient by the states, and by the weights of the softmax."""
+        p, n = self.p, np.float32(len(goal))
+        kind = (goal // self.width).astype(np.int16)
+        order = np.argsort(kind, kind="stable")
+        states, kind, place = states[order], kind[order], (goal % self.width)[order]
+        outer = _soft(states @ p["class_w"] + p["class_b"])
+        outer[np.arange(len(kind)), kind] -= 1
+        back = outer @ p["class_w"].T
+        grads = {k: np.zeros_like(p[k]) for k in ("word_w", "word_b")}
+        grads["class_w"], grads["class_b"] = states.T @ outer / n, outer.sum(0) / n
+        cuts = np.searchsorted(kind, np.arange(self.classes + 1))
+        for c in np.flatnonzero(np.diff(cuts)):
+            a, b = cuts[c], cuts[c + 1]
+            inner = _soft(states[a:b] @ p["word_w"][c] + p["word_b"][c])
+            inner[np.arange(b - a), place[a:b]] -= 1
+            back[a:b] += inner @ p["word_w"][c].T
+            grads["word_w"][c], grads["word_b"][c] = states[a:b].T @ inner / n, inner.sum(0) / n
+        out = np.empty_like(back)
+        out[order] = back / n
+        return out, grads
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
 
 def _log_sum(x: np.ndarray) -> np.ndarray:
+    """Overwrites x."""
     top = x.max(axis=1)
-    return top + np.log(np.exp(x - top[:, None]).sum(axis=1))
+    x -= top[:, None]
+    np.exp(x, out=x)
+    return np.log(x.sum(axis=1)) + top
 
 
 def _soft(x: np.ndarray) -> np.ndarray:
-    y = np.exp(x - x.max(axis=1, keepdims=True))
-    return y / y.sum(axis=1, keepdims=True)
+    """In place."""
+    x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(axis=1, keepdims=True)
+    return x
 
 
 def frequent(counts: DataFrame, most: int) -> list:
@@ -287,51 +340,67 @@ def fit(network: Network, train: DataFrame, token_ids: Callable[[str], np.ndarra
     return seen
 
 
-def score(docs: DataFrame, held_out: int = 7, remainder: int = 2, model_words: int = 2000, known_words: int = 200_000, rounds: int = 4, window: int = 64) -> DataFrame:
-    """One row per document: tokens, known tokens, the training total, base score and the model's score (log10)."""
-    session = docs.sparkSession
-    given = docs.select("doc_id", (id_bucket(held_out) == remainder).alias("held_out"), text_or_empty().alias("text"))
-    train = given.where("not held_out")
+class Model(NamedTuple):
+    """The network, the numbers of the known words (the first `size` are the network's own), their counts, and totals."""
+
+    network: Network
+    known: dict[bytes, int]
+    counts: np.ndarray
+    size: int
+    ends: int
+    total: int
+    base_norm: float
+    other_norm: float
+
+    def numbers(self, found: list[bytes]) -> np.ndarray:
+        """The number of each word, -1 for those that are not known."""
+        return np.fromiter(map(self.known.get, found, repeat(-1)), np.int32, len(found))
+
+
+def model_of(train: DataFrame, model_words: int = 2000, known_words: int = 200_000, rounds: int = 4, hidden: int = 32) -> tuple[Model, DataFrame]:
+    """The model of all rows of `train` (doc_id, text), and the table of all words' counts (word, n)."""
     counts = written(train.select("text").mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
     facts = counts.agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.max(F.when(F.col("word") == "", F.col("n"))).alias("docs")).first()
     total, kinds, ends = facts.total or 0, facts.kinds or 0, facts.docs or 0
     top = frequent(counts, known_words)
     own = top[:model_words]
     others, other_kinds = total - ends - sum(r.n for r in own), max(kinds - len(own) - 1, 0)
-    known = {r.word.encode(): i for i, r in enumerate(top)}
-    known_n = np.array([r.n for r in top], np.float64)
-    network = Network([ends, others, *(r.n for r in own)])
-    size = len(own)
-
+    network = Network([ends, others, *(r.n for r in own)], hidden)
     own_ids = {r.word.encode(): i + 2 for i, r in enumerate(own)}
 
     def token_ids(text: str) -> np.ndarray:
-        return np.array([own_ids.get(w, OTHER) for w in words(text)] + [END], np.int32)
+        found = words(text)
+        return np.append(np.fromiter(map(own_ids.get, found, repeat(OTHER)), np.int32, len(found)), np.int32(END))
 
     fit(network, train, token_ids, rounds)
-    base_norm, other_norm = np.log10(total + kinds + 1), np.log10(others + other_kinds + 1)
-    model = session.sparkContext.broadcast((network, known, known_n))
+    known = {r.word.encode(): i for i, r in enumerate(top)}
+    return Model(network, known, np.array([r.n for r in top], np.float64), len(own), ends, total, float(np.log10(total + kinds + 1)), float(np.log10(others + other_kinds + 1))), counts
+
+
+def score(docs: DataFrame, held_out: int = 7, remainder: int = 2, model_words: int = 2000, known_words: int = 200_000, rounds: int = 4, hidden: int = 32) -> DataFrame:
+    """One row per document: tokens, known tokens, the training total, base score and the model's score (log10)."""
+    given = docs.select("doc_id", (id_bucket(held_out) == remainder).alias("held_out"), text_or_empty().alias("text"))
+    learnt, counts = model_of(given.where("not held_out"), model_words, known_words, rounds, hidden)
+    model = docs.sparkSession.sparkContext.broadcast(learnt)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        network, known, known_n = model.value
-        log_n = np.log10(known_n + 1)
+        m = model.value
+        log_n = np.log10(m.counts + 1)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             texts = batch.column(2).to_pylist()
-            for a, b in slices(texts):
+            for a, b in slices(texts, 16_000_000):
                 ids, facts, rare = [], [], []
                 for text in texts[a:b]:
                     found = words(text)
-                    at = np.array([known.get(w, -1) for w in found], np.int64)
-                    seen = at >= 0
-                    logs = log_n[at[seen]]
-                    other = int((at >= size).sum() + (~seen).sum())
-                    base = logs.sum() + np.log10(ends + 1) - (len(found) + 1) * base_norm
-                    beside = log_n[at[at >= size]].sum() - other * other_norm
-                    ids.append(np.append(np.where((at >= 0) & (at < size), at + 2, OTHER), END).astype(np.int32))
-                    rare.append([found[i].decode() for i in np.flatnonzero(~seen)])
-                    facts.append((len(found) + 1, int(seen.sum()) + (ends > 0), base, beside))
-                scores = network.score(ids, window) / np.log(10) + np.array([f[3] for f in facts])
+                    at = m.numbers(found)
+                    inside, unseen = (at >= 0) & (at < m.size), np.flatnonzero(at < 0)
+                    seen, beyond = log_n[at[at >= 0]].sum(), log_n[at[at >= m.size]].sum()
+                    other = len(found) - int(inside.sum())
+                    ids.append(np.append(np.where(inside, at + 2, OTHER), END).astype(np.int32))
+                    rare.append([found[i].decode() for i in unseen])
+                    facts.append((len(found) + 1, len(found) - len(unseen) + (m.ends > 0), seen + np.log10(m.ends + 1) - (len(found) + 1) * m.base_norm, beyond - other * m.other_norm))
+                scores = m.network.score(ids) / np.log(10) + np.array([f[3] for f in facts])
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.arange(row, row + b - a), pa.int64()),
@@ -354,5 +423,5 @@ def score(docs: DataFrame, held_out: int = 7, remainder: int = 2, model_words: i
     full = scored.drop("rare").join(looked.withColumnRenamed("row", "of"), F.col("row") == F.col("of"), "left")
     more = F.coalesce("more", F.lit(0.0))
     return full.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base_score") + more).alias("base_score"), (F.col("score") + more).alias("score")
+        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(learnt.total).cast("long").alias("train_tokens"), (F.col("base_score") + more).alias("base_score"), (F.col("score") + more).alias("score")
     )

@@ -152,6 +152,68 @@ def test_recurrent_base_is_exact_and_the_model_is_better(spark, docs):
     assert recurrent.score(docs.limit(0)).count() == 0
 
 
+def brute_score(net, doc):
+    """The same network, a word and a number at a time."""
+    p, h = {k: v.astype(float) for k, v in net.p.items()}, net.hidden
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    state, last, total = [0.0] * h, 0, 0.0
+    for word in doc:
+        fed = [sum(p["embed"][last][i] * p["into"][i][j] for i in range(h)) + p["gates"][j] for j in range(3 * h)]
+        rec = [sum(state[i] * p["across"][i][j] for i in range(h)) for j in range(3 * h)]
+        z, r = [sigmoid(fed[j] + rec[j]) for j in range(h)], [sigmoid(fed[h + j] + rec[h + j]) for j in range(h)]
+        new = [math.tanh(fed[2 * h + j] + r[j] * rec[2 * h + j]) for j in range(h)]
+        state = [new[j] + z[j] * (state[j] - new[j]) for j in range(h)]
+        c, w = divmod(int(word), net.width)
+        outer = [sum(state[i] * p["class_w"][i][k] for i in range(h)) + p["class_b"][k] for k in range(net.classes)]
+        inner = [sum(state[i] * p["word_w"][c][i][k] for i in range(h)) + p["word_b"][c][k] for k in range(net.width)]
+        total += outer[c] - math.log(sum(map(math.exp, outer))) + inner[w] - math.log(sum(map(math.exp, inner)))
+        last = word
+    return total
+
+
+def test_recurrent_score_equals_brute_force(spark, docs):
+    """The whole score: the network's words by the network, others by their share, of known and of rare words."""
+    some = docs.where("doc_id < 40 or doc_id > 599 and doc_id < 603")
+    given = some.selectExpr("doc_id", "coalesce(text, '') as text", "crc32(cast(cast(doc_id as string) as binary)) % 7 = 2 as held_out")
+    model, counts = recurrent.model_of(given.where("not held_out"), 20, 40, 2, 8)
+    n = {r.word.encode(): r.n for r in counts.collect()}
+    own = dict(list(model.known.items())[: model.size])
+    others = model.total - n[b""] - sum(n[w] for w in own)
+    kinds = len(n) - len(own) - 1
+    got = {(r.doc_id, r.n_tokens): r.score for r in recurrent.score(some, model_words=20, known_words=40, rounds=2, hidden=8).collect()}
+    for r in given.collect():
+        found = r.text.encode().lower().split()
+        want = brute_score(model.network, [own[w] + 2 if w in own else 1 for w in found] + [0]) / math.log(10)
+        want += sum(math.log10((n.get(w, 0) + 1) / (others + kinds + 1)) for w in found if w not in own)
+        assert abs(got[r.doc_id, len(found) + 1] - want) < 1e-3 * max(1, len(found) / 50), r.doc_id
+
+
+def test_recurrent_gradients_equal_differences():
+    """One window's gradients against small changes of every weight."""
+    rng = np.random.default_rng(1)
+    net = recurrent.Network([5, 9, 4, 3, 2, 2, 1], hidden=3)
+    net.p = {k: rng.normal(0, 0.5, v.shape) for k, v in net.p.items()}
+    tokens = rng.integers(0, 7, (6, 4))
+
+    def loss():
+        total, state = 0.0, np.zeros((4, 3))
+        for last, goal in zip(tokens, tokens[1:]):
+            state = net.step((net.p["embed"] @ net.p["into"] + net.p["gates"])[last], state)[0]
+            total -= net.log_likelihood(state, goal).sum()
+        return total / 20
+
+    grads, _ = net.gradients(tokens[:-1], tokens[1:], np.zeros((4, 3)))
+    assert grads.keys() == net.p.keys()
+    for name, weights in net.p.items():
+        for i in np.ndindex(weights.shape):
+            was, found = weights[i], []
+            for step in (1e-5, -1e-5):
+                weights[i] = was + step
+                found.append(loss())
+            weights[i] = was
+            assert abs((found[0] - found[1]) / 2e-5 - grads[name][i]) < 1e-6, (name, i)
+
+
 def test_recurrent_probabilities_sum_to_one_and_windows_do_not_matter():
     net = recurrent.Network([5, 9, 4, 3, 2, 2, 1], hidden=4)
     net.train(np.array([0, 2, 3, 1, 4, 0, 2, 2, 1, 5, 6] * 60, np.int32), lanes=4, window=5)
@@ -159,7 +221,7 @@ def test_recurrent_probabilities_sum_to_one_and_windows_do_not_matter():
     total = sum(math.exp(net.log_likelihood(state, np.array([w]))[0]) for w in range(7))
     assert abs(total - 1) < 1e-5
     texts = [np.array([2, 3, 1, 4] * 30 + [0], np.int32), np.array([0], np.int32), np.array([5, 6, 0], np.int32)]
-    assert np.allclose(net.score(texts, 7), net.score(texts, 64), atol=1e-4)
+    assert np.allclose(net.score(texts, 7), net.score(texts, 640), atol=1e-4)
     assert np.allclose(net.score(texts, 7), [net.score([t], 16)[0] for t in texts], atol=1e-4)
 
 
