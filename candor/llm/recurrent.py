@@ -60,7 +60,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Network:
     """A gated recurrent layer and a softmax factored into classes, in single precision."""
 
-    def __init__(self, counts: list[int], hidden: int = 32, seed: int = 3):
+    def __init__(self, counts: list[int], hidden: int = 24, seed: int = 3):
         rng = np.random.default_rng(seed)
         n = len(counts)
         self.classes = max(1, int(np.sqrt(n)))
@@ -248,19 +248,28 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
+def _exp(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
+    """exp(x - top), its sums by row, and top: 0 where no row needs it, as rows are short and their maxima slow. Overwrites x."""
+    top: np.ndarray | float = 0.0
+    if x.size and (x.max() > 60 or x.min() < -80):
+        top = x.max(axis=1, keepdims=True)
+        x -= top
+    np.exp(x, out=x)
+    return x, x @ np.ones(x.shape[1], x.dtype), top
+
+
 def _log_sum(x: np.ndarray) -> np.ndarray:
     """Overwrites x."""
-    top = x.max(axis=1)
-    x -= top[:, None]
-    np.exp(x, out=x)
-    return np.log(x.sum(axis=1)) + top
+    _, total, top = _exp(x)
+    out = np.log(total)
+    out += top if isinstance(top, float) else top[:, 0]
+    return out
 
 
 def _soft(x: np.ndarray) -> np.ndarray:
     """In place."""
-    x -= x.max(axis=1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
+    x, total, _ = _exp(x)
+    x *= (1 / total)[:, None]
     return x
 
 
@@ -330,12 +339,11 @@ def fit(network: Network, train: DataFrame, token_ids: Callable[[str], np.ndarra
         shape = "tokens long, weights binary"
         part = train.where(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(rounds)) == turn).select("text")
         found = written(part.mapInArrow(run, shape))
-        while (n := found.count()) > FAN_IN:
+        while (n := found.count()) > 1:
             found = written(found.repartition(-(-n // FAN_IN)).mapInArrow(join, shape))
-        if n:
-            tokens, weights = _averaged([(r.tokens, bytes(r.weights)) for r in found.collect()])
-            put(network, weights)
-            seen += tokens
+        for r in found.collect():  # one at most
+            put(network, bytes(r.weights))
+            seen += r.tokens
         shared.unpersist()
     return seen
 
@@ -357,7 +365,7 @@ class Model(NamedTuple):
         return np.fromiter(map(self.known.get, found, repeat(-1)), np.int32, len(found))
 
 
-def model_of(train: DataFrame, model_words: int = 2000, known_words: int = 200_000, rounds: int = 4, hidden: int = 32) -> tuple[Model, DataFrame]:
+def model_of(train: DataFrame, model_words: int = 2000, known_words: int = 200_000, rounds: int = 4, hidden: int = 24) -> tuple[Model, DataFrame]:
     """The model of all rows of `train` (doc_id, text), and the table of all words' counts (word, n)."""
     counts = written(train.select("text").mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
     facts = counts.agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.max(F.when(F.col("word") == "", F.col("n"))).alias("docs")).first()
@@ -377,7 +385,7 @@ def model_of(train: DataFrame, model_words: int = 2000, known_words: int = 200_0
     return Model(network, known, np.array([r.n for r in top], np.float64), len(own), ends, total, float(np.log10(total + kinds + 1)), float(np.log10(others + other_kinds + 1))), counts
 
 
-def score(docs: DataFrame, held_out: int = 7, remainder: int = 2, model_words: int = 2000, known_words: int = 200_000, rounds: int = 4, hidden: int = 32) -> DataFrame:
+def score(docs: DataFrame, held_out: int = 7, remainder: int = 2, model_words: int = 2000, known_words: int = 200_000, rounds: int = 4, hidden: int = 24) -> DataFrame:
     """One row per document: tokens, known tokens, the training total, base score and the model's score (log10)."""
     given = docs.select("doc_id", (id_bucket(held_out) == remainder).alias("held_out"), text_or_empty().alias("text"))
     learnt, counts = model_of(given.where("not held_out"), model_words, known_words, rounds, hidden)
