@@ -29,7 +29,7 @@ _CUT = re.compile(r" (?=\S)")
 class Pieces:
     """Ids of texts as packed little-endian unsigned 32-bit integers, from a bounded cache of pieces."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 250_000, longest: int = 48):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 500_000, longest: int = 48):
         self.encode, self.most, self.longest = encode, most, longest
         self.after: dict[str, bytes] = {}  # ids of " " + key
         self.before: dict[str, bytes] = {}  # the last full generation
@@ -45,18 +45,17 @@ class Pieces:
         new = set()
         for cut in cuts:
             new.update(cut[1:])
-        new.difference_update(known)
+        new = new.difference(known)
         odd = {x for x in new if not x or x[0].isspace()}
         if odd:
             for i, cut in enumerate(cuts):
                 if not odd.isdisjoint(cut[1:]):
                     cuts[i] = cut = _CUT.split(texts[i])
                     new.update(cut[1:])
-            new -= odd
-            new.difference_update(known)
-        again = new & older.keys()
+            new = new.difference(odd).difference(known)
+        again = [x for x in new if x in older]
         known.update((x, older[x]) for x in again)
-        new -= again
+        new.difference_update(again)
         fresh = [x for x in new if len(x) <= self.longest]
         known.update(zip(fresh, self._packed([" " + x for x in fresh]), strict=True))
         long = [x for x in new if len(x) > self.longest]
@@ -131,7 +130,7 @@ def codec(path: str) -> tuple[Pieces, list[bytes]]:
         back = {c: b for b, c in enumerate(byte_chars())}
         for token, number in made.get_vocab().items():
             table[number] = bytes(back[c] for c in token)
-        _HELD[path] = Pieces(lambda texts: [e.ids for e in made.encode_batch(texts, add_special_tokens=False)]), table
+        _HELD[path] = Pieces(lambda texts: [e.ids for e in made.encode_batch_fast(texts, add_special_tokens=False)]), table
     return _HELD[path]
 
 
