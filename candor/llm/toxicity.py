@@ -89,7 +89,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
 
 
-def logistic(rows: np.ndarray, columns: np.ndarray, scale: np.ndarray, labels: np.ndarray, rounds: int = 250, penalty: float = 1.0) -> tuple[np.ndarray, float]:
+def logistic(rows: np.ndarray, columns: np.ndarray, scale: np.ndarray, labels: np.ndarray, rounds: int = 150, penalty: float = 1.0) -> tuple[np.ndarray, float]:
     """Weights of scaled binary features given as (row, column) pairs, and the intercept, by full-batch Adam."""
     n, width = len(labels), len(scale)
     weights, bias = np.zeros(width + 1), np.log((labels.sum() + 1) / (n - labels.sum() + 1))
@@ -105,7 +105,7 @@ def logistic(rows: np.ndarray, columns: np.ndarray, scale: np.ndarray, labels: n
     return weights[:-1] * scale, float(weights[-1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, held_out: int = 5, sample_rows: int = 20_000, least_docs: int = 3, stands_out: float = 3.0) -> tuple[Model, bool]:
+def fit(docs: DataFrame, labels: DataFrame, held_out: int = 5, sample_rows: int = 6_000, least_docs: int = 3, stands_out: float = 3.0) -> tuple[Model, bool]:
     """The model, and whether labels of both classes were there to learn from."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (id_bucket(held_out) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("mark"))
     total = known.count()
@@ -142,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int = 5, sample_rows: int
     return Model(bare.ids, weights, bias), True
 
 
-def score(docs: DataFrame, labels: DataFrame, held_out: int = 5, sample_rows: int = 20_000) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, held_out: int = 5, sample_rows: int = 6_000) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, held_out, sample_rows)[0])
 
