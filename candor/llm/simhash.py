@@ -193,80 +193,149 @@ def prints(found: np.ndarray, tables: int) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, words: int, tables: int) -> DataFrame:
-    """row, doc_id, the 128-bit hash of the word sequence (high, low) and the fingerprints of each document."""
+    """doc_id, same (the md5 of the text) and the fingerprints of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_128_intdigest
-
         hashes = _Hashes()
         for batch in batches:
-            high, low, keys = [], [], []
-            for text in batch.column(2).to_pylist():
-                found = text.encode("utf-8", "replace").lower().split()
-                whole = xxh3_128_intdigest(b" ".join(found)).to_bytes(16, "little")
-                high.append(int.from_bytes(whole[8:], "little", signed=True))
-                low.append(int.from_bytes(whole[:8], "little", signed=True))
-                keys.append(prints(shingles(found, words, hashes), tables))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["row", "doc_id", "high", "low", "prints"])
+            keys = [prints(shingles(t.encode("utf-8", "replace").lower().split(), words, hashes), tables) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "same", "prints"])
+
+    return docs.select("doc_id", _same(), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, same binary, prints array<long>")
+
 
-    return docs.select(F.col("kept_row").alias("row"), "doc_id", text_or_empty().alias("text")).mapInArrow(run, "row long, doc_id long, high long, low long, prints array<long>")
+def _same() -> Column:
+    return F.unhex(F.md5(text_or_empty().cast("binary"))).alias("same")
 
 
-def _sets(docs: DataFrame, words: int) -> DataFrame:
+def _alike(words: int, least: float):
+    """Of rows (a, b, x, y) those whose texts x and y have a Jaccard of `least` or more, as (a, b)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
+        own = lambda t: shingles(t.encode("utf-8", "replace").lower().split(), words, hashes)
         for batch in batches:
-            for a in range(0, batch.num_rows, 512):
-                part = batch.slice(a, 512)
-                found = [shingles(t.encode("utf-8", "replace").lower().split(), words, hashes).view(np.int64) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], ["row", "found"])
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                left, right = own(x), own(y)
+                common = len(np.intersect1d(left, right, assume_unique=True))
+                keep.append(common >= least * (len(left) + len(right) - common))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+SIEVE = 1 << 26
+
+
+def sieved(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """`rows` (own_id, own_same and more) with `maybe`: false only if `wanted` (own_id, own_same) has no such pair.
+
+    A bitmap of `SIEVE` bits, 8 MB however large the tables are, goes to every task. A full one only lets more through.
+    """
+    at = F.pmod(F.xxhash64("own_id", "own_same"), F.lit(SIEVE)) + 1
+    bits = wanted.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("of_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    placed = rows.withColumn("at", at).withColumn("bucket", F.bitmap_bucket_number("at")).withColumn("bit", F.bitmap_bit_position("at"))
+    met = placed.join(F.broadcast(bits), F.col("bucket") == F.col("of_bucket"), "left")
+    byte = F.conv(F.hex(F.expr("substring(bits, cast(bit div 8 + 1 as int), 1)")), 16, 10).cast("int")
+    found = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(bit % 8 as int))")) != 0, F.lit(False))
+    return met.withColumn("maybe", found).drop("at", "bucket", "bit", "of_bucket", "bits")
+
 
-    return docs.mapInArrow(run, "row long, found array<long>")
+def _keyed(docs: DataFrame, columns: list) -> DataFrame:
+    """Columns of `docs`, and own_id and own_same, which are never null, so that one dealing by them serves several steps."""
+    return docs.select(*columns, _id_text("doc_id").alias("own_id"), F.coalesce(_same(), F.lit(b"")).alias("own_same"))
 
 
-def candidates(placed: DataFrame) -> DataFrame:
+def _id_text(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit("null"))
+
+
+def candidates(placed: DataFrame, tables: int) -> DataFrame:
     """(row, prints) to distinct pairs (a, b) of rows that meet on a variant, each with one of three hubs of it.
 
     All that meet on a variant are within two bits of one another in its table. The hubs are the first row, the last and
     one drawn by the variant, so that no pairs within a group are made and the number of pairs follows that of variants.
+    Rows are dealt by variant once, for the hubs and for the pairs. A pair whose fingerprints differ in more bits over
+    all tables than a Jaccard of 0.8 does (0.152 of them, with a deviation of 0.36 / sqrt(bits)) by five deviations goes.
+    `differ` is the number of those bits.
     """
     flips = _masks(ONE[:33])
-    met = placed.select("row", F.explode("prints").alias("print")).select("row", F.explode(F.transform(flips, lambda m: F.col("print").bitwiseXOR(m))).alias("key"))
+    prints = placed.select("row", "prints").repartition(int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("row"))
+    met = prints.select("row", F.explode("prints").alias("print")).select("row", F.explode(F.transform(flips, lambda m: F.col("print").bitwiseXOR(m))).alias("key")).repartition("key")
     mask = F.col("key").bitwiseAND(F.lit((1 << 62) - 1))
     hubs = met.groupBy("key").agg(F.min("row").alias("first"), F.max("row").alias("last"), F.min(F.col("row").bitwiseXOR(mask)).alias("drawn"), F.count("*").alias("n"))
     hubs = hubs.where("n > 1").select("key", F.array("first", "last", F.col("drawn").bitwiseXOR(mask)).alias("hubs"))
     pairs = met.join(hubs.hint("merge"), "key").select("row", F.explode(F.array_distinct("hubs")).alias("hub")).where("row != hub")
-    return pairs.select(F.least("row", "hub").alias("a"), F.greatest("row", "hub").alias("b")).distinct()
+    pairs = saved(pairs.select(F.least("row", "hub").alias("a"), F.greatest("row", "hub").alias("b")).distinct())
+    left, right = placed.select(F.col("row").alias("a"), F.col("prints").alias("x")), placed.select(F.col("row").alias("b"), F.col("prints").alias("y"))
+    differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
+    most = int(32 * tables * (0.152 + 5 * 0.36 / (32 * tables) ** 0.5))
+    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", differ.alias("differ")).where(F.col("differ") <= most)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
     """The pairs whose sets of shingles have a Jaccard of `least` or more."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("asked")).distinct()
-    texts = docs.select(F.col("kept_row").alias("row"), text_or_empty().alias("text")).join(asked.hint("merge"), F.col("row") == F.col("asked"), "left_semi")
-    sets = written(_sets(texts, words))
-    left, right = sets.select(F.col("row").alias("a"), F.col("found").alias("x")), sets.select(F.col("row").alias("b"), F.col("found").alias("y"))
-    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
-    both = both.select("a", "b", (F.size("x") + F.size("y")).alias("sizes"), F.size(F.array_intersect("x", "y")).alias("common"))
-    return both.where(F.col("common") >= F.lit(least) * (F.col("sizes") - F.col("common"))).select("a", "b")
+    left, right = texts.select(F.col("row").alias("a"), F.col("text").alias("x")), texts.select(F.col("row").alias("b"), F.col("text").alias("y"))
+    both = pairs.select("a", "b").join(left.hint("merge"), "a").join(right.hint("merge"), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(_alike(words, least), "a long, b long")
+
+
+def linked_rows(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+    """(node, root) of the groups that the pairs with enough in common make.
+
+    Each row's most alike pair is compared first; of the others only those that would still join two groups.
+    """
+    ends = pairs.select("a", "b", "differ", F.explode(F.array("a", "b")).alias("row"))
+    first = ends.groupBy("row").agg(F.min(F.struct("differ", "a", "b")).alias("best")).select("best.a", "best.b").distinct()
+    edges = saved(verified(first, texts, words, least))
+    tree = components(edges)
+    of = lambda end: tree.select(F.col("node").alias(f"node_{end}"), F.col("root").alias(f"root_{end}"))
+    open_ones = pairs.join(of("a").hint("merge"), F.col("a") == F.col("node_a"), "left").join(of("b").hint("merge"), F.col("b") == F.col("node_b"), "left")
+    open_ones = open_ones.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b").join(first.hint("merge"), ["a", "b"], "left_anti")
+    return components(edges.unionByName(saved(verified(open_ones, texts, words, least))))
 
 
-def near_copies(given: DataFrame, words: int = 5, least: float = 0.8, tables: int = 16) -> DataFrame:
-    """Numbered documents to the rows that come first in their class of equal word sequences: row, doc_id, root of the group.
+def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, tables: int = 16) -> DataFrame:
+    """Classes of equal texts: row (a number), doc_id (the smallest), same (the md5 of the text), root of the group.
 
     Texts of fewer than `words` words are one shingle; null and empty texts are one class, and have no fingerprint.
     """
-    signed = written(_signed(given, words, tables))
-    classes = saved(least_rows(signed, "high", "low"))
-    placed = signed.select("row", "prints").join(classes.select(F.col("row").alias("of")).hint("merge"), F.col("row") == F.col("of"), "left_semi")
-    tree = components(verified(saved(candidates(placed)), given, words, least))
-    return classes.join(tree.hint("merge"), F.col("row") == F.col("node"), "left").select("row", "doc_id", F.coalesce("root", "row").alias("root"))
+    signed = written(_signed(docs, words, tables))
+    first = F.min_by(F.struct("doc_id", "prints"), F.struct(F.col("doc_id").isNull(), "doc_id")).alias("first")
+    classes = written(signed.groupBy("same").agg(first).select("same", "first.doc_id", "first.prints").withColumn("row", F.monotonically_increasing_id()))
+    blank = classes.where(F.size("prints") == 0).agg(F.min("row").alias("blank"))
+    pairs = saved(candidates(classes.where(F.size("prints") > 0), tables))
+    asked = saved(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct().join(classes.hint("merge"), "row").select("row", _id_text("doc_id").alias("own_id"), F.col("same").alias("own_same")))
+    some = sieved(_keyed(docs, [text_or_empty().alias("text")]), asked).where("maybe").select("own_id", "own_same", "text")
+    texts = written(some.join(asked.hint("merge"), ["own_id", "own_same"]).select("row", "text").dropDuplicates(["row"]))
+    tree = linked_rows(pairs, texts, words, least)
+    rooted = classes.join(tree.hint("merge"), F.col("row") == F.col("node"), "left").join(F.broadcast(blank))
+    return rooted.select("row", "doc_id", "same", F.when(F.size("prints") == 0, F.col("blank")).otherwise(F.coalesce("root", "row")).alias("root"))
 
 
 def without_near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, tables: int = 16) -> DataFrame:
     """Of each group of near copies (Jaccard of `words`-word shingles) the row with the smallest id; a null id only if all are null.
 
-    Rows are told apart by a number, so null or repeated ids never merge rows of different groups.
+    Rows with null or repeated ids are told apart by their texts, so they never merge rows of different groups; of rows
+    with one id and one text, one stays.
     """
-    given = numbered(docs)
-    kept = least_rows(near_copies(given, words, least, tables), "root").select(F.col("row").alias("least_row"))
-    return given.join(kept.hint("merge"), F.col("kept_row") == F.col("least_row"), "left_semi").drop("kept_row")
+    found = written(near_copies(docs, words, least, tables))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    kept = found.groupBy("root").agg(F.min_by(F.struct("doc_id", "same"), order).alias("best")).select(_id_text("best.doc_id").alias("own_id"), F.col("best.same").alias("own_same"))
+    return kept_once(docs, kept)
+
+
+def kept_once(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The documents named by `kept` (own_id, own_same), one row of each.
+
+    Only rows that may have to go are dealt over the tasks: those of pairs that are not kept, or that occur again.
+    """
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    kept = saved(kept)
+    counted = _keyed(docs, []).groupBy("own_id", "own_same").agg(F.count("*").alias("n"))
+    doubtful = counted.join(kept.withColumn("stays", F.lit(True)).hint("merge"), ["own_id", "own_same"], "left").where("n > 1 or stays is null").select("own_id", "own_same")
+    rows = sieved(_keyed(docs, [F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)]), doubtful)
+    one = rows.where("maybe").groupBy("own_id", "own_same").agg(F.first(F.struct(*names)).alias("row"))
+    some = one.join(kept.hint("merge"), ["own_id", "own_same"], "left_semi").select("row.*")
+    return rows.where("not maybe").select(*names).unionByName(some).select(*(F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)))
