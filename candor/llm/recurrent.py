@@ -60,7 +60,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Network:
     """A gated recurrent layer and a softmax factored into classes, in single precision."""
 
-    def __init__(self, counts: list[int], hidden: int = 24, seed: int = 3):
+    def __init__(self, counts: list[int], hidden: int = 20, seed: int = 3):
         rng = np.random.default_rng(seed)
         n = len(counts)
         self.classes = max(1, int(np.sqrt(n)))
@@ -151,7 +151,7 @@ class Network:
         out[order] = total
         return out
 
-    def train(self, stream: np.ndarray, lanes: int = 64, window: int = 20, rate: float = 0.01, passes: int = 1, memory: dict | None = None) -> None:
+    def train(self, stream: np.ndarray, lanes: int = 64, window: int = 24, rate: float = 0.01, passes: int = 1, memory: dict | None = None) -> None:
         """Truncated backpropagation: lanes of the stream side by side, state carried from window to window.
 
         `memory` keeps the optimiser's moments from call to call.
@@ -319,7 +319,7 @@ def fit(network: Network, train: DataFrame, token_ids: Callable[[str], np.ndarra
 
             def learn() -> None:
                 stream = np.concatenate(held)
-                lanes = int(np.clip(len(stream) // 500, 4, 256))
+                lanes = int(np.clip(len(stream) // 500, 4, 384))
                 net.train(np.append(stream, np.full(-len(stream) % lanes, END, np.int32)), lanes, memory=memory)
                 held.clear()
 
@@ -348,6 +348,17 @@ def fit(network: Network, train: DataFrame, token_ids: Callable[[str], np.ndarra
     return seen
 
 
+class Numbers(dict):
+    """The most frequent words' numbers, few enough to stay near the processor; the others' are looked up beyond, -1 if unknown."""
+
+    def __init__(self, known: dict[bytes, int], most: int = 16_384):
+        super().__init__((w, i) for w, i in known.items() if i < most)
+        self.beyond = known
+
+    def __missing__(self, word: bytes) -> int:
+        return self.beyond.get(word, -1)
+
+
 class Model(NamedTuple):
     """The network, the numbers of the known words (the first `size` are the network's own), their counts, and totals."""
 
@@ -360,12 +371,8 @@ class Model(NamedTuple):
     base_norm: float
     other_norm: float
 
-    def numbers(self, found: list[bytes]) -> np.ndarray:
-        """The number of each word, -1 for those that are not known."""
-        return np.fromiter(map(self.known.get, found, repeat(-1)), np.int32, len(found))
-
 
-def model_of(train: DataFrame, model_words: int = 2000, known_words: int = 200_000, rounds: int = 4, hidden: int = 24) -> tuple[Model, DataFrame]:
+def model_of(train: DataFrame, model_words: int = 2000, known_words: int = 200_000, rounds: int = 4, hidden: int = 20) -> tuple[Model, DataFrame]:
     """The model of all rows of `train` (doc_id, text), and the table of all words' counts (word, n)."""
     counts = written(train.select("text").mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
     facts = counts.agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.max(F.when(F.col("word") == "", F.col("n"))).alias("docs")).first()
@@ -385,7 +392,7 @@ def model_of(train: DataFrame, model_words: int = 2000, known_words: int = 200_0
     return Model(network, known, np.array([r.n for r in top], np.float64), len(own), ends, total, float(np.log10(total + kinds + 1)), float(np.log10(others + other_kinds + 1))), counts
 
 
-def score(docs: DataFrame, held_out: int = 7, remainder: int = 2, model_words: int = 2000, known_words: int = 200_000, rounds: int = 4, hidden: int = 24) -> DataFrame:
+def score(docs: DataFrame, held_out: int = 7, remainder: int = 2, model_words: int = 2000, known_words: int = 200_000, rounds: int = 4, hidden: int = 20) -> DataFrame:
     """One row per document: tokens, known tokens, the training total, base score and the model's score (log10)."""
     given = docs.select("doc_id", (id_bucket(held_out) == remainder).alias("held_out"), text_or_empty().alias("text"))
     learnt, counts = model_of(given.where("not held_out"), model_words, known_words, rounds, hidden)
@@ -393,7 +400,7 @@ def score(docs: DataFrame, held_out: int = 7, remainder: int = 2, model_words: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        log_n = np.log10(m.counts + 1)
+        log_n, numbers = np.log10(m.counts + 1), Numbers(m.known)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             texts = batch.column(2).to_pylist()
@@ -401,7 +408,7 @@ def score(docs: DataFrame, held_out: int = 7, remainder: int = 2, model_words: i
                 ids, facts, rare = [], [], []
                 for text in texts[a:b]:
                     found = words(text)
-                    at = m.numbers(found)
+                    at = np.fromiter(map(numbers.__getitem__, found), np.int32, len(found))
                     inside, unseen = (at >= 0) & (at < m.size), np.flatnonzero(at < 0)
                     seen, beyond = log_n[at[at >= 0]].sum(), log_n[at[at >= m.size]].sum()
                     other = len(found) - int(inside.sum())
