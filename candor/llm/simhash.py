@@ -256,13 +256,14 @@ def candidates(placed: DataFrame, tables: int) -> DataFrame:
 
     All that meet on a variant are within two bits of one another in its table. The hubs are the first row, the last and
     one drawn by the variant, so that no pairs within a group are made and the number of pairs follows that of variants.
-    Rows are dealt by variant once, for the hubs and for the pairs. A pair whose fingerprints differ in more bits over
+    Rows are dealt by variant once, for the hubs and for the pairs (both sides have the same filters, so that Spark sees
+    that they are one). A pair whose fingerprints differ in more bits over
     all tables than a Jaccard of 0.8 does (0.152 of them, with a deviation of 0.36 / sqrt(bits)) by five deviations goes.
     `differ` is the number of those bits.
     """
-    flips = _masks(ONE[:33])
-    prints = placed.select("row", "prints").repartition(int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("row"))
-    met = prints.select("row", F.explode("prints").alias("print")).select("row", F.explode(F.transform(flips, lambda m: F.col("print").bitwiseXOR(m))).alias("key")).repartition("key")
+    variants = F.array(*(F.col("print").bitwiseXOR(_long(m)) for m in ONE[:33]))
+    prints = placed.select("row", "prints").where("row is not null").repartition(int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("row"))
+    met = prints.select("row", F.explode("prints").alias("print")).select("row", F.explode(variants).alias("key")).where("key is not null").repartition("key")
     mask = F.col("key").bitwiseAND(F.lit((1 << 62) - 1))
     hubs = met.groupBy("key").agg(F.min("row").alias("first"), F.max("row").alias("last"), F.min(F.col("row").bitwiseXOR(mask)).alias("drawn"), F.count("*").alias("n"))
     hubs = hubs.where("n > 1").select("key", F.array("first", "last", F.col("drawn").bitwiseXOR(mask)).alias("hubs"))
