@@ -78,6 +78,17 @@ IDENTIFIERS = {
     "rsid": r"^rs\d+$",
     "so": r"^SO:\d{7}$",
     "study_locus_id": r"^[0-9a-f]{32}$",
+    "cbio_cancer_type": r"^[a-z0-9][a-z0-9_\-]*$",
+    "cbio_study": r"^[a-z0-9][a-z0-9_\-]*$",
+    "cbio_sample": r"^(?:TCGA-[A-Z0-9]{2}-[A-Z0-9]{4}-\d{2}[A-Z]?|\S+)$",
+    "cbio_patient": r"^(?:TCGA-[A-Z0-9]{2}-[A-Z0-9]{4}|\S+)$",
+    "europepmc_id": r"^(?:[1-9]\d{0,8}|(?:PPR|PMC|IND|CAIN|FNI|c)\d+)$",
+    "ot_disease": r"^(?:EFO|MONDO|HP|Orphanet|DOID|GO|OBA|OTAR|NCIT|MP)_\w+$",
+    "gwas_study": r"^(?:GCST\d+(?:_\d+)?|FINNGEN_R\d+_\S+|NEALE2_\S+|SAIGE_\S+)$",
+    "tahoe_drug": r"^\S(?:[^\t\r\n]*\S)?$",
+    "tahoe_gene_name": r"^(?:ENSG\d{11}|[A-Za-z0-9][A-Za-z0-9._@/#\-]*)$",
+    "uniprot_accession": r"^(?:[OPQ][0-9][A-Z0-9]{3}[0-9]|[A-NR-Z][0-9](?:[A-Z][A-Z0-9]{2}[0-9]){1,2})$",
+    "ot_variant": r"^(?:[1-9]|1\d|2[0-2]|X|Y|MT)_\d+_[ACGTN]+_[ACGTN]+$",
 }
 
 
@@ -87,14 +98,26 @@ def is_kind(column: Column, kind: str) -> Column:
 
 
 def latest_day(column: Column) -> Column:
-    """The last day a written date can mean: YYYY, YYYY-MM or YYYY-MM-DD; null if it is none."""
+    """The last day a written date can mean: YYYY, YYYY-MM, YYYY-MM-DD (with or without a time), "Month YYYY" or "Month D, YYYY"; null if it is none."""
     return F.coalesce(
         F.when(column.rlike(r"^\d{4}$"), F.try_to_date(F.concat(column, F.lit("-12-31")))),
         F.when(column.rlike(r"^\d{4}-\d{2}$"), F.last_day(F.try_to_date(F.concat(column, F.lit("-01"))))),
-        F.when(column.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(column)),
+        F.when(column.rlike(r"^\d{4}-\d{2}-\d{2}(?:[T ].*)?$"), F.try_to_date(F.left(column, F.lit(10)))),
+        F.when(column.rlike(r"^[A-Za-z]+ \d{4}$"), F.last_day(F.try_to_date(F.concat(F.lit("1 "), _month(column)), "d MMMM yyyy"))),
+        F.when(column.rlike(r"^[A-Za-z]+ \d{1,2}, \d{4}$"), F.try_to_date(_month(column), "MMMM d, yyyy")),
     )
 
 
+def earliest_day(column: Column) -> Column:
+    """The first day a written date can mean, of the same forms as `latest_day`."""
+    last = latest_day(column)
+    return F.when(column.rlike(r"^\d{4}$"), F.trunc(last, "year")).when(column.rlike(r"^\d{4}-\d{2}$|^[A-Za-z]+ \d{4}$"), F.trunc(last, "month")).otherwise(last)
+
+
+def _month(column: Column) -> Column:
+    return F.initcap(column)
+
+
 def dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -120,11 +143,12 @@ def hypergeometric_tail(k: pd.Series, drawn: pd.Series, marked: pd.Series, total
 
 
 def phase_number(column: Column) -> Column:
-    """A written trial phase as a number: early is 0.5, Roman or Arabic 0 to 4, the greatest of a combined one; else null."""
+    """A written trial phase as a number: "EARLY" alone or 0 is 0.5, Roman or Arabic 1 to 4 with halves, the greatest of a combined one; else null."""
     text = F.upper(column)
-    arabic = F.transform(F.regexp_extract_all(text, F.lit(r"(?<![0-9])([0-4])(?![0-9])"), F.lit(1)), lambda x: x.cast("double"))
+    arabic = F.transform(F.regexp_extract_all(text, F.lit(r"(?<![0-9.])([0-4](?:\.5)?)"), F.lit(1)), lambda x: F.when(x == "0", 0.5).otherwise(x.cast("double")))
     roman = F.transform(F.regexp_extract_all(text, F.lit(r"\b(IV|I{1,3})\b"), F.lit(1)), lambda x: F.array_position(F.array(*map(F.lit, ("I", "II", "III", "IV"))), x).cast("double"))
-    return F.when(text.contains("EARLY"), F.lit(0.5)).otherwise(F.array_max(F.concat(arabic, roman)))
+    found = F.array_max(F.concat(arabic, roman))
+    return F.when(text.contains("EARLY") & (F.coalesce(found, F.lit(1.0)) <= 1), F.lit(0.5)).otherwise(found)
 
 
 def squeezed(share: Column, n: Column) -> Column:

@@ -18,7 +18,10 @@ def cut(df: DataFrame) -> DataFrame:
     """`df` in the checkpoint folder of the session (a temporary one only where none is named); lineage ends there."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local["):
+            raise GraphError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint()
 
 
@@ -33,20 +36,32 @@ def neighbors(edges: DataFrame, a: str, b: str, node, rank: list[tuple[str, str]
 
 
 def expand_network(edges: DataFrame, a: str, b: str, seeds: DataFrame, hops: int, max_nodes: int) -> DataFrame:
-    """node and hop of everything within `hops` of the seeds; the hop that passes max_nodes is cut in order of nodes."""
+    """node and hop of everything within `hops` of the seeds; the hop that passes max_nodes is cut in order of nodes.
+
+    A hop reads the edges that touch the frontier, by one join for each end, and keeps the new nodes only.
+    """
     checked_limit(hops, 4)
-    pairs = cut(both_ways(edges, a, b).select("node", "partner").distinct())
     seen = cut(seeds.select(F.col(seeds.columns[0]).alias("node"), F.lit(0).alias("hop")).distinct())
+    n = seen.count()
     for hop in range(1, hops + 1):
-        frontier = seen.where(F.col("hop") == hop - 1).select("node")
-        fresh = pairs.join(frontier, "node").select(F.col("partner").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
-        room = max_nodes - seen.count()
+        frontier = seen.where(F.col("hop") == hop - 1).select(F.col("node").alias("from_"))
+        touched = [edges.join(frontier, F.col(x) == F.col("from_"), "left_semi").select(F.col(y).alias("node")) for x, y in ((a, b), (b, a))]
+        fresh = touched[0].unionByName(touched[1]).where("node is not null").distinct().join(seen.select("node"), "node", "left_anti")
+        room = max_nodes - n
         if room <= 0:
             break
-        seen = cut(seen.unionByName(fresh.orderBy("node").limit(room).withColumn("hop", F.lit(hop))))
+        fresh = cut(fresh.orderBy("node").limit(room).withColumn("hop", F.lit(hop)))
+        seen, n = seen.unionByName(fresh), n + fresh.count()
     return seen
 
 
+def network_edges(edges: DataFrame, a: str, b: str, nodes: DataFrame) -> DataFrame:
+    """The edges between the nodes of a network, each unordered pair once for each of its other values."""
+    left, right = nodes.select(F.col("node").alias("a_")), nodes.select(F.col("node").alias("b_"))
+    inside = edges.join(left, F.col(a) == F.col("a_"), "left_semi").join(right, F.col(b) == F.col("b_"), "left_semi")
+    return inside.withColumns({a: F.least(a, b), b: F.greatest(a, b)}).distinct()
+
+
 def common_partners(edges: DataFrame, a: str, b: str, inputs: DataFrame, min_targets: int, score: str) -> DataFrame:
     """Partners outside the inputs that touch at least so many of them, with their best score."""
     wanted = inputs.select(F.col(inputs.columns[0]).alias("node")).distinct()
@@ -70,15 +85,29 @@ def closure(edges: DataFrame, parent: str, child: str, max_depth: int = 50) -> D
     raise GraphError(f"deeper than {max_depth}")
 
 
-def expand(edges: DataFrame, parent: str, child: str, values: DataFrame, direction: str = "descendants", include_self: bool = True) -> DataFrame:
-    """node and depth of the descendants or ancestors of the values."""
+def expand(edges: DataFrame, parent: str, child: str, values: DataFrame, direction: str = "descendants", include_self: bool = True, max_depth: int = 50, max_expand: int | None = None) -> DataFrame:
+    """node and depth of the descendants or ancestors of the values, walked from these values only.
+
+    A value that is its own descendant, a walk past max_depth, or more than max_expand nodes are errors.
+    """
     near, far = (parent, child) if direction == "descendants" else (child, parent)
     start = values.select(F.col(values.columns[0]).alias("node")).distinct()
-    every = closure(edges, near, far)
-    out = every.join(start, every.ancestor == start.node).groupBy("descendant").agg(F.min("depth").alias("depth")).withColumnRenamed("descendant", "node")
-    if include_self:
-        out = out.unionByName(start.withColumn("depth", F.lit(0))).groupBy("node").agg(F.min("depth").alias("depth"))
-    return out
+    seen, last = cut(start.withColumn("depth", F.lit(0))), start
+    for depth in range(1, max_depth + 2):
+        met = edges.join(last.select(F.col("node").alias("from_")), F.col(near) == F.col("from_"), "left_semi").where(F.col(far).isNotNull()).select(F.col(far).alias("node")).distinct()
+        last = cut(met.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
+        n = last.count()
+        if not n:
+            break
+        if depth > max_depth:
+            raise GraphError(f"deeper than {max_depth}")
+        seen = seen.unionByName(last)
+        if max_expand is not None and seen.count() > max_expand:
+            raise GraphError(f"more than {max_expand} nodes")
+    inside = edges.join(seen.select(F.col("node").alias("near_")), F.col(near) == F.col("near_"), "left_semi").join(seen.select(F.col("node").alias("far_")), F.col(far) == F.col("far_"), "left_semi")
+    if not cyclic_nodes(inside, near, far).isEmpty():
+        raise GraphError("the hierarchy has a cycle")
+    return seen if include_self else seen.where("depth > 0")
 
 
 def members(membership: DataFrame, set_id: str, member: str, edges: DataFrame, parent: str, child: str, wanted) -> DataFrame:
@@ -89,17 +118,51 @@ def members(membership: DataFrame, set_id: str, member: str, edges: DataFrame, p
     return joined.groupBy(member).agg(F.min(F.struct("depth", F.col(set_id).alias("via"))).alias("best")).select(member, F.col("best.via").alias("via"), F.col("best.depth").alias("depth"))
 
 
-def cyclic_nodes(edges: DataFrame, a: str, b: str, most_rounds: int = 100) -> DataFrame:
-    """The edges on or between cycles: edges into nodes without a way on, or from nodes without a way in, are peeled off."""
-    left = cut(edges.select(a, b).distinct())
-    for _ in range(most_rounds):
-        n = left.count()
+def _peeled(left: DataFrame, a: str, b: str) -> DataFrame:
+    """Edges left after those into nodes without a way on, and from nodes without a way in, are gone, round by round."""
+    n = left.count()
+    while n:
         kept = left.join(left.select(F.col(a).alias("on_")).distinct(), F.col(b) == F.col("on_"), "left_semi")
         kept = cut(kept.join(left.select(F.col(b).alias("in_")).distinct(), F.col(a) == F.col("in_"), "left_semi"))
-        if kept.count() == n:
-            return left
-        left = kept
-    raise GraphError("too deep to peel")
+        now = kept.count()
+        if now == n:
+            break
+        left, n = kept, now
+    return left
+
+
+def cyclic_nodes(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """The edges within cycles: both ends in one strongly connected component, or a self loop.
+
+    Peeling leaves cycles and what lies between them. Each node then takes the greatest node that reaches it as its
+    colour; walking back from a colour's own node within the colour gives that node's component. Components are put
+    aside and the rest is peeled and coloured again.
+    """
+    left, found = _peeled(cut(edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b).distinct()), a, b), []
+    while not left.isEmpty():
+        colour = cut(left.select(F.col(a).alias("node")).unionByName(left.select(F.col(b).alias("node"))).distinct().withColumn("colour", F.col("node")))
+        while True:
+            reached = left.join(colour, F.col(a) == F.col("node")).groupBy(F.col(b).alias("to_")).agg(F.max("colour").alias("new_"))
+            step = cut(colour.join(reached, F.col("node") == F.col("to_"), "left").select("node", F.greatest("colour", "new_").alias("colour"), (F.col("new_") > F.col("colour")).alias("moved")))
+            colour = step.select("node", "colour")
+            if step.where("moved").isEmpty():
+                break
+        same = left.join(colour.select(F.col("node").alias("a_"), F.col("colour").alias("ca_")), F.col(a) == F.col("a_")).join(colour.select(F.col("node").alias("b_"), F.col("colour").alias("cb_")), F.col(b) == F.col("b_")).where("ca_ = cb_").select(a, b)
+        same = cut(same)
+        back = cut(colour.where("node = colour").select("node"))
+        last = back
+        while not last.isEmpty():
+            met = same.join(last.select(F.col("node").alias("to_")), F.col(b) == F.col("to_"), "left_semi").select(F.col(a).alias("node")).distinct()
+            last = cut(met.join(back, "node", "left_anti"))
+            back = back.unionByName(last)
+        inside = same.join(back.select(F.col("node").alias("a_")), F.col(a) == F.col("a_"), "left_semi").join(back.select(F.col("node").alias("b_")), F.col(b) == F.col("b_"), "left_semi")
+        found.append(cut(inside))
+        gone = back.select(F.col("node").alias("gone_"))
+        left = _peeled(cut(left.join(gone, F.col(a) == F.col("gone_"), "left_anti").join(gone, F.col(b) == F.col("gone_"), "left_anti")), a, b)
+    out = edges.select(a, b).limit(0) if not found else found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def missing_reverse(edges: DataFrame, a: str, b: str) -> DataFrame:

@@ -22,12 +22,9 @@ def dangling(df: DataFrame, column: str, target: DataFrame, key: str) -> DataFra
 
 
 def leaf_statistics(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row per column: known rows, distinct values, least and greatest as text."""
-    parts = [df.agg(F.lit(c).alias("column"), F.count(c).alias("n_known"), F.count_distinct(c).alias("n_distinct"), F.min(c).cast("string").alias("low"), F.max(c).cast("string").alias("high")) for c in columns]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """One row per column: known rows, distinct values, least and greatest as text; from one pass."""
+    one = df.agg(*(F.struct(F.lit(c).alias("column"), F.count(c).alias("n_known"), F.count_distinct(c).alias("n_distinct"), F.min(c).cast("string").alias("low"), F.max(c).cast("string").alias("high")).alias(f"c{i}") for i, c in enumerate(columns)))
+    return one.select(F.explode(F.array(*(f"c{i}" for i in range(len(columns))))).alias("x")).select("x.*")
 
 
 def digest(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -8,13 +8,22 @@ from pyspark.sql import functions as F
 from candor.functions.scalar import hypergeometric_tail
 
 
-def adjusted(df: DataFrame, p: str, family: list[str], out: str = "q") -> DataFrame:
-    """Benjamini-Hochberg q-values within each family; every row counts, unknown p-values get none."""
+def adjusted(df: DataFrame, p: str, family: list[str], out: str = "q", m: int | None = None) -> DataFrame:
+    """Benjamini-Hochberg q-values within each family (of at least `m` tests); unknown p-values get none.
+
+    Ranks run over the distinct p-values with their counts, so a large family of few values is no large window.
+    """
     by = family or [F.lit(0)]
-    m = F.count(p).over(Window.partitionBy(*by))
-    ranked = df.withColumn("raw_", F.col(p) * m / (F.rank().over(Window.partitionBy(*by).orderBy(F.col(p).asc_nulls_last())) + F.count("*").over(Window.partitionBy(*by, p)) - 1))
-    step = F.min("raw_").over(Window.partitionBy(*by).orderBy(F.col(p).desc_nulls_last()).rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    return ranked.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), step))).drop("raw_")
+    counts = df.where(F.col(p).isNotNull()).groupBy(*family, p).agg(F.count("*").alias("same_"))
+    up = Window.partitionBy(*by).orderBy(p)
+    total = F.sum("same_").over(Window.partitionBy(*by))
+    raw = F.col(p) * (F.greatest(total, F.lit(m)) if m else total) / F.sum("same_").over(up)
+    step = F.min("raw_").over(Window.partitionBy(*by).orderBy(F.desc(p)).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    found = counts.withColumn("raw_", raw).select(*(F.col(c).alias(f"{c}_of_") for c in family), F.col(p).alias("p_of_"), F.least(F.lit(1.0), step).alias(out))
+    same = F.col(p) == F.col("p_of_")
+    for c in family:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_of_"))
+    return df.join(found, same, "left").drop(*(f"{c}_of_" for c in family), "p_of_")
 
 
 def enrich(sets: DataFrame, set_id: str, member: str, query: DataFrame, universe: DataFrame, min_size: int, max_size: int) -> DataFrame:
@@ -68,13 +77,19 @@ def bimodality(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def auc(df: DataFrame, group: list[str], score: str, label: str) -> DataFrame:
-    """Area under the curve from midranks; null without both labels."""
+    """Area under the curve from midranks of the distinct scores, with DeLong's variance; null without both labels."""
     by = group or [F.lit(0)]
-    fine = df.where(F.col(score).isNotNull() & F.col(label).isin(0, 1))
-    mid = F.rank().over(Window.partitionBy(*by).orderBy(score)) + (F.count("*").over(Window.partitionBy(*by, score)) - 1) / 2
-    ranked = fine.withColumn("mid_", mid)
-    n1, n0 = F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)
-    return ranked.groupBy(*group).agg(n1.alias("n_positive"), n0.alias("n_negative"), F.try_divide(F.sum(F.when(F.col(label) == 1, F.col("mid_"))) - n1 * (n1 + 1) / 2, n1 * n0).alias("auc"))
+    cells = df.where(F.col(score).isNotNull() & F.col(label).isin(0, 1)).groupBy(*group, score).agg(F.count_if(F.col(label) == 1).alias("p_"), F.count_if(F.col(label) == 0).alias("n_"))
+    up = Window.partitionBy(*by).orderBy(score)
+    every = Window.partitionBy(*by)
+    cells = cells.withColumns({"below_": F.sum("n_").over(up) - F.col("n_") / 2, "over_": F.sum("p_").over(every) - F.sum("p_").over(up) + F.col("p_") / 2, "all_p_": F.sum("p_").over(every), "all_n_": F.sum("n_").over(every)})
+    cells = cells.withColumns({"v10": F.try_divide("below_", "all_n_"), "v01": F.try_divide("over_", "all_p_")})
+    out = cells.groupBy(*group).agg(F.sum("p_").alias("n_positive"), F.sum("n_").alias("n_negative"), F.sum(F.col("p_") * F.col("v10")).alias("s1"), F.sum(F.col("p_") * F.col("v10") ** 2).alias("q1"), F.sum(F.col("n_") * F.col("v01")).alias("s0"), F.sum(F.col("n_") * F.col("v01") ** 2).alias("q0"))
+    area = F.try_divide("s1", "n_positive")
+    spread = lambda q, s, n: F.try_divide(F.col(q) - F.col(s) * F.col(s) / F.col(n), F.col(n) - 1)
+    both = (F.col("n_positive") > 0) & (F.col("n_negative") > 0)
+    variance = F.when((F.col("n_positive") > 1) & (F.col("n_negative") > 1), spread("q1", "s1", "n_positive") / F.col("n_positive") + spread("q0", "s0", "n_negative") / F.col("n_negative"))
+    return out.select(*group, "n_positive", "n_negative", F.when(both, area).alias("auc"), F.when(both, variance).alias("variance"))
 
 
 def odds(df: DataFrame, group: list[str], exposed: Column, outcome: Column) -> DataFrame:
@@ -86,17 +101,33 @@ def odds(df: DataFrame, group: list[str], exposed: Column, outcome: Column) -> D
     return cells.select(*group, "a", "b", "c", "d", ratio.alias("odds_ratio"), F.exp(F.ln(ratio) - 1.959964 * error).alias("low"), F.exp(F.ln(ratio) + 1.959964 * error).alias("high"))
 
 
+def quantiles(df: DataFrame, group: list[str], value: str, shares: list[float]) -> DataFrame:
+    """Exact quantiles with linear interpolation, q0, q1, ... of each group: found among the distinct values by their running counts."""
+    by = group or [F.lit(0)]
+    counts = df.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).cast("double").alias("v_")).agg(F.count("*").alias("c_"))
+    up = Window.partitionBy(*by).orderBy("v_")
+    placed = counts.withColumns({"to_": F.sum("c_").over(up), "n_": F.sum("c_").over(Window.partitionBy(*by))})
+    found = []
+    for i, share in enumerate(shares):
+        at = (F.col("n_") - 1) * F.lit(share)
+        for j, place in enumerate((F.floor(at), F.ceil(at))):
+            found.append(F.max(F.when((F.col("to_") > place) & (F.col("to_") - F.col("c_") <= place), F.col("v_"))).alias(f"x{i}_{j}"))
+        found.append(F.max(at - F.floor(at)).alias(f"f{i}"))
+    out = placed.groupBy(*group).agg(*found)
+    return out.select(*group, *((F.col(f"x{i}_0") + F.col(f"f{i}") * (F.col(f"x{i}_1") - F.col(f"x{i}_0"))).alias(f"q{i}") for i in range(len(shares))))
+
+
 def quartile_split(df: DataFrame, group: str, value: str) -> DataFrame:
     """Rows at or beyond the exact lower and upper quartiles of their group."""
-    cuts = df.groupBy(group).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("cuts_"))
-    out = df.join(cuts, group)
-    return out.withColumn("part", F.when(F.col(value) <= F.col("cuts_")[0], "low").when(F.col(value) >= F.col("cuts_")[1], "high")).where("part is not null").drop("cuts_")
+    out = df.join(quantiles(df, [group], value, [0.25, 0.75]), group)
+    return out.withColumn("part", F.when(F.col(value) <= F.col("q0"), "low").when(F.col(value) >= F.col("q1"), "high")).where("part is not null").drop("q0", "q1")
 
 
 def z_scores(df: DataFrame, group: str, value: str) -> DataFrame:
     """Standardised within the group by the sample deviation; null where there is none."""
-    w = Window.partitionBy(group)
-    return df.withColumn("z", F.try_divide(F.col(value) - F.avg(value).over(w), F.nullif(F.stddev_samp(value).over(w), F.lit(0.0))))
+    facts = df.groupBy(F.col(group).alias("of_")).agg(F.avg(value).alias("mean_"), F.stddev_samp(value).alias("sd_"))
+    out = df.join(facts, F.col(group).eqNullSafe(F.col("of_")))
+    return out.withColumn("z", F.try_divide(F.col(value) - F.col("mean_"), F.nullif("sd_", F.lit(0.0)))).drop("of_", "mean_", "sd_")
 
 
 def two_means(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -114,9 +145,9 @@ def two_means(df: DataFrame, group: str, value: str) -> DataFrame:
 
 def pseudobulk(df: DataFrame, group: list[str], cell: str, value: str, min_cells: int) -> DataFrame:
     """Sum, mean log2 of counts per ten thousand and detection share over the cells of each group, for enough cells."""
-    depth = F.sum(value).over(Window.partitionBy(*group, cell))
-    share = F.log2(1 + 1e4 * F.try_divide(F.col(value), depth))
-    out = df.withColumn("log_", share).groupBy(*group).agg(F.count_distinct(cell).alias("n_cells"), F.sum(value).alias("total"), F.avg("log_").alias("mean_log2"), F.avg((F.col(value) > 0).cast("double")).alias("detected"))
+    depth = df.groupBy(*group, cell).agg(F.sum(value).alias("depth_"))
+    share = F.log2(1 + 1e4 * F.try_divide(F.col(value), "depth_"))
+    out = df.join(depth, [*group, cell]).withColumn("log_", share).groupBy(*group).agg(F.count_distinct(cell).alias("n_cells"), F.sum(value).alias("total"), F.avg("log_").alias("mean_log2"), F.avg((F.col(value) > 0).cast("double")).alias("detected"))
     return out.where(F.col("n_cells") >= min_cells)
 
 
@@ -136,10 +167,9 @@ def proportions(df: DataFrame, group: list[str], value: str) -> DataFrame:
 
 def top_fraction(df: DataFrame, measures: list[str], fraction: float) -> DataFrame:
     """Rows at or above the exact upper quantile of every measure."""
-    cuts = df.agg(*(F.percentile(m, F.lit(1 - fraction)).alias(f"cut_{i}") for i, m in enumerate(measures)))
-    out = df.join(F.broadcast(cuts))
+    out = df
     for i, m in enumerate(measures):
-        out = out.where(F.col(m) >= F.col(f"cut_{i}"))
+        out = out.join(F.broadcast(quantiles(df, [], m, [1 - fraction]).withColumnRenamed("q0", f"cut_{i}"))).where(F.col(m) >= F.col(f"cut_{i}"))
     return out.select(*df.columns)
 
 

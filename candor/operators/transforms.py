@@ -5,19 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from candor.functions.scalar import latest_day
+
 
 class ScopeError(ValueError):
     """A summary that would pool values across a scope that was not fixed."""
 
 
 def ceiling(df: DataFrame, available: str, changed: str | None, redacted: list[str], day: str) -> DataFrame:
-    """Rows available by a day; columns changed later are withheld, an unknown date keeps its row and is marked."""
-    limit = F.to_date(F.lit(day))
-    out = df.where(F.col(available).isNull() | (F.to_date(available) <= limit)).withColumn("unchecked", F.col(available).isNull())
+    """Rows available by a day; columns changed later are withheld. A date that is missing or none keeps its row, marked.
+
+    `unchecked` marks a row whose availability is unknown or unreadable, or whose date of change is there but unreadable.
+    """
+    limit = F.lit(day).cast("date")
+    at = latest_day(F.col(available).cast("string"))
+    out = df.where(at.isNull() | (at <= limit))
+    unchecked = at.isNull()
     if changed:
-        late = F.coalesce(F.to_date(changed) > limit, F.lit(False))
-        out = out.withColumns({c: F.when(~late, F.col(c)) for c in redacted})
-    return out
+        when = latest_day(F.col(changed).cast("string"))
+        unchecked = unchecked | (F.col(changed).isNotNull() & when.isNull())
+        late = F.coalesce(when > limit, F.lit(False))
+        out = out.withColumns({"unchecked": unchecked} | {c: F.when(~late, F.col(c)) for c in redacted})
+        return out
+    return out.withColumn("unchecked", unchecked)
 
 
 NEGATED = ("true", "1", "yes", "y", "not")

@@ -592,7 +592,7 @@ def analysis_zscore_composite(spark, d):
 )
 def analysis_auc(spark, d):
     j = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id")
-    return statistics.auc(j, ["quality"], "n_chars", "toxic").withColumn("auc", r6("auc"))
+    return statistics.auc(j, ["quality"], "n_chars", "toxic").select("quality", "n_positive", "n_negative", r6("auc").alias("auc"))
 
 
 @query(
@@ -755,3 +755,6 @@ def json_path_value(spark, d):
 @query("SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
 def windowed_counts(spark, d):
     return windowed(table(spark, d, "events"), "1 day").select(F.unix_timestamp("start").alias("day"), "event_type", "n", F.round("total", 2).alias("total"))
+
+
+from candor import analyses  # noqa: E402, F401  registers its queries in QUERIES
