@@ -251,26 +251,30 @@ def _id_text(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit("null"))
 
 
-def candidates(placed: DataFrame, tables: int) -> DataFrame:
-    """(row, prints) to distinct pairs (a, b) of rows that meet on a variant, each with the first of them.
+def candidates(placed: DataFrame) -> DataFrame:
+    """(row, prints) to row, best and hubs: the first rows of the variants on which it meets others, best the most frequent.
 
     All that meet on a variant are within two bits of one another in its table, and a row meets others on hundreds of
-    variants. The same rows are the first on most variants of a group, so that a row of a large group has few pairs.
-    Rows are dealt by variant once, for the hubs and for the pairs (both sides have the same filters, so that Spark sees
-    that they are one). A pair whose fingerprints differ in more bits over
-    all tables than a Jaccard of 0.8 does (0.152 of them, with a deviation of 0.36 / sqrt(bits)) by five deviations goes.
-    `differ` is the number of those bits.
+    variants at most. Rows are dealt by variant once, for the first rows and for the pairs (both sides have the same
+    filters, so that Spark sees that they are one).
     """
     variants = F.array(*(F.col("print").bitwiseXOR(_long(m)) for m in ONE[:33]))
     prints = placed.select("row", "prints").where("row is not null").repartition(int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("row"))
     met = prints.select("row", F.explode("prints").alias("print")).select("row", F.explode(variants).alias("key")).where("key is not null").repartition("key")
     hubs = met.groupBy("key").agg(F.min("row").alias("hub"), F.max("row").alias("last")).where("hub < last").select("key", "hub")
-    pairs = met.join(hubs.hint("merge"), "key").where("row != hub")
-    pairs = saved(pairs.select(F.least("row", "hub").alias("a"), F.greatest("row", "hub").alias("b")).distinct())
+    pairs = met.join(hubs.hint("merge"), "key").where("row != hub").groupBy("row", "hub").agg(F.count("*").alias("n"))
+    return saved(pairs.groupBy("row").agg(F.max_by("hub", F.struct(F.col("n"), -F.col("hub"))).alias("best"), F.collect_set("hub").alias("hubs")))
+
+
+def close(pairs: DataFrame, placed: DataFrame, tables: int) -> DataFrame:
+    """Of pairs (a, b) those whose fingerprints may be those of texts with a Jaccard of 0.8.
+
+    Such texts differ in 0.152 of the bits, with a deviation of 0.36 / sqrt(bits); five deviations more go.
+    """
     left, right = placed.select(F.col("row").alias("a"), F.col("prints").alias("x")), placed.select(F.col("row").alias("b"), F.col("prints").alias("y"))
     differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
     most = int(32 * tables * (0.152 + 5 * 0.36 / (32 * tables) ** 0.5))
-    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", differ.alias("differ")).where(F.col("differ") <= most)
+    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").where(differ <= most).select("a", "b")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
@@ -280,35 +284,47 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> Da
     return both.select("a", "b", "x", "y").mapInArrow(_alike(words, least), "a long, b long")
 
 
-def linked_rows(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
-    """(node, root) of the groups that the pairs with enough in common make.
+def linked_rows(found: DataFrame, placed: DataFrame, texts: DataFrame, words: int, least: float, tables: int) -> DataFrame:
+    """(node, root) of the groups that the candidates with enough in common make.
 
-    Each row's most alike pair is compared first; of the others only those that would still join two groups.
+    Each row is compared with its best hub first. Of its other hubs only those are that would still join two groups,
+    and all of them where the best has too little in common.
     """
-    ends = pairs.select("a", "b", "differ", F.explode(F.array("a", "b")).alias("row"))
-    first = ends.groupBy("row").agg(F.min(F.struct("differ", "a", "b")).alias("best")).select("best.a", "best.b").distinct()
-    edges = saved(verified(first, texts, words, least))
+    first = found.select(F.col("row").alias("a"), F.col("best").alias("b"))
+    edges = saved(verified(close(first, placed, tables), texts, words, least))
     tree = components(edges)
+    failed = saved(first.join(edges.hint("merge"), ["a", "b"], "left_anti").select("a"))
+    others = found.select(F.col("row").alias("a"), "best", F.explode("hubs").alias("b")).where("b != best")
     of = lambda end: tree.select(F.col("node").alias(f"node_{end}"), F.col("root").alias(f"root_{end}"))
-    open_ones = pairs.join(of("a").hint("merge"), F.col("a") == F.col("node_a"), "left").join(of("b").hint("merge"), F.col("b") == F.col("node_b"), "left")
-    open_ones = open_ones.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b").join(first.hint("merge"), ["a", "b"], "left_anti")
-    return components(edges.unionByName(saved(verified(open_ones, texts, words, least))))
+    hubs = others.select("best", "b").distinct().join(of("best").hint("merge"), F.col("best") == F.col("node_best"), "left").join(of("b").hint("merge"), F.col("b") == F.col("node_b"), "left")
+    apart = saved(hubs.where(F.coalesce("root_best", "best") != F.coalesce("root_b", "b")).select("best", "b"))
+    more = others.join(apart.hint("merge"), ["best", "b"], "left_semi").select("a", "b").unionByName(others.join(failed.hint("merge"), "a", "left_semi").select("a", "b")).distinct()
+    return components(edges.unionByName(saved(verified(close(more, placed, tables), texts, words, least))))
 
 
 def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, tables: int = 16) -> DataFrame:
     """Classes of equal texts: row (a number), doc_id (the smallest), same (the md5 of the text), root of the group.
 
-    Texts of fewer than `words` words are one shingle; null and empty texts are one class, and have no fingerprint.
+    Rows are numbered by how many others share their fingerprints, so that the typical texts of a large group come first
+    and the group's rows meet few hubs. Texts of fewer than `words` words are one shingle; null and empty texts are one
+    class, and have no fingerprint.
     """
     signed = written(_signed(docs, words, tables))
     first = F.min_by(F.struct("doc_id", "prints"), F.struct(F.col("doc_id").isNull(), "doc_id")).alias("first")
-    classes = written(signed.groupBy("same").agg(first).select("same", "first.doc_id", "first.prints").withColumn("row", F.monotonically_increasing_id()))
+    bare = written(signed.groupBy("same").agg(first).select("same", "first.doc_id", "first.prints"))
+    each = bare.select("same", F.explode("prints").alias("print"))
+    often = each.groupBy("print").agg(F.count("*").alias("n")).where("n > 1")
+    typical = each.join(often.hint("merge"), "print").groupBy(F.col("same").alias("of")).agg(F.sum("n").alias("typical"))
+    ranked = bare.join(typical.hint("merge"), F.col("same") == F.col("of"), "left").select("same", "doc_id", "prints", F.coalesce("typical", F.lit(0)).alias("typical"))
+    classes = written(ranked.orderBy(F.desc("typical"), "same").select("same", "doc_id", "prints", F.monotonically_increasing_id().alias("row")))
     blank = classes.where(F.size("prints") == 0).agg(F.min("row").alias("blank"))
-    pairs = saved(candidates(classes.where(F.size("prints") > 0), tables))
-    asked = saved(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct().join(classes.hint("merge"), "row").select("row", _id_text("doc_id").alias("own_id"), F.col("same").alias("own_same")))
+    placed = classes.where(F.size("prints") > 0).select("row", "prints")
+    found = candidates(placed)
+    asked = found.select("row").unionByName(found.select(F.explode("hubs").alias("row"))).distinct()
+    asked = saved(asked.join(classes.hint("merge"), "row").select("row", _id_text("doc_id").alias("own_id"), F.col("same").alias("own_same")))
     some = sieved(_keyed(docs, [text_or_empty().alias("text")]), asked).where("maybe").select("own_id", "own_same", "text")
     texts = written(some.join(asked.hint("merge"), ["own_id", "own_same"]).select("row", "text").dropDuplicates(["row"]))
-    tree = linked_rows(pairs, texts, words, least)
+    tree = linked_rows(found, placed, texts, words, least, tables)
     rooted = classes.join(tree.hint("merge"), F.col("row") == F.col("node"), "left").join(F.broadcast(blank))
     return rooted.select("row", "doc_id", "same", F.when(F.size("prints") == 0, F.col("blank")).otherwise(F.coalesce("root", "row")).alias("root"))
 
