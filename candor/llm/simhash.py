@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candor.llm.common import least_rows, met, numbered, saved, text_or_empty, written
@@ -255,14 +255,13 @@ def candidates(placed: DataFrame) -> DataFrame:
     """(row, prints) to row, best and hubs: the first rows of the variants on which it meets others, best the most frequent.
 
     All that meet on a variant are within two bits of one another in its table, and a row meets others on hundreds of
-    variants at most. Rows are dealt by variant once, for the first rows and for the pairs (both sides have the same
-    filters, so that Spark sees that they are one).
+    variants at most. Rows are dealt and sorted by variant once.
     """
     variants = F.array(*(F.col("print").bitwiseXOR(_long(m)) for m in ONE[:33]))
     prints = placed.select("row", "prints").where("row is not null").repartition(int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("row"))
     met = prints.select("row", F.explode("prints").alias("print")).select("row", F.explode(variants).alias("key")).where("key is not null").repartition("key")
-    hubs = met.groupBy("key").agg(F.min("row").alias("hub"), F.max("row").alias("last")).where("hub < last").select("key", "hub")
-    pairs = met.join(hubs.hint("merge"), "key").where("row != hub").groupBy("row", "hub").agg(F.count("*").alias("n"))
+    first = met.withColumn("hub", F.min("row").over(Window.partitionBy("key")))
+    pairs = first.where("row != hub").groupBy("row", "hub").agg(F.count("*").alias("n"))
     return saved(pairs.groupBy("row").agg(F.max_by("hub", F.struct(F.col("n"), -F.col("hub"))).alias("best"), F.collect_set("hub").alias("hubs")))
 
 
