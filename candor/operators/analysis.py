@@ -103,24 +103,63 @@ def least_p(rows: DataFrame, group: list[str], mantissa: str, exponent: str) ->
     return rows.where(known).groupBy(*group).agg(F.min(F.struct((F.log10(mantissa) + F.col(exponent)).alias("rank"), mantissa, exponent)).alias("best")).select(*group, f"best.{mantissa}", f"best.{exponent}")
 
 
+def _finite(*columns: str) -> Column:
+    return F.coalesce(sum((F.abs(F.col(c).cast("double")) for c in columns), F.lit(0.0)) < float("inf"), F.lit(False))
+
+
+def _first_of(rows: DataFrame, by: list[str], most: int) -> DataFrame:
+    return rows.withColumn("n_", F.row_number().over(Window.partitionBy(*by).orderBy("k_"))).where(F.col("n_") <= most).drop("n_")
+
+
+def _around(rows: DataFrame, reach: int) -> DataFrame:
+    """Each row once for every cell within `reach` of its own."""
+    steps = F.sequence(F.lit(-reach), F.lit(reach))
+    return rows.withColumn("i_", F.explode(steps)).withColumn("j_", F.explode(steps)).withColumns({"cx_": F.col("cx_") + F.col("i_"), "cy_": F.col("cy_") + F.col("j_")}).drop("i_", "j_")
+
+
+def _near(placed: DataFrame, asked: DataFrame, most: int) -> DataFrame:
+    """Points (s_, k_, x_, y_) that may be among the `most` nearest of each query (s_, q_, qx_, qy_); all places are finite."""
+    wide = F.greatest(*(F.max(c).cast("double") - F.min(c).cast("double") for c in ("x_", "y_")))
+    span = placed.groupBy("s_").agg(F.min("x_").alias("x0_"), F.min("y_").alias("y0_"), wide.alias("span_"), F.count("*").alias("n_"))
+    levels = F.sequence(F.lit(0), F.ceil(F.log2("n_") / 2).cast("int") + 2)
+
+    def cells(rows: DataFrame, *places: str) -> DataFrame:
+        last = F.pow(F.lit(2.0), "level_") - 1
+        at = [F.least(F.floor(F.coalesce(F.try_divide(F.col(c).cast("double") - F.col(low).cast("double"), "span_"), F.lit(0.0)) * (last + 1)), last.cast("long")) for c, low in zip(places, ("x0_", "y0_"), strict=True)]
+        return rows.join(span, "s_").withColumn("level_", F.explode(levels)).withColumns({"cx_": at[0], "cy_": at[1]}).drop("x0_", "y0_", "span_", "n_")
+
+    cell, query = ["s_", "level_", "cx_", "cy_"], ["s_", "q_", "qx_", "qy_"]
+    spots, seekers = cells(placed, "x_", "y_"), cells(asked, "qx_", "qy_")
+    held = spots.groupBy(*cell).agg(F.count("*").alias("n_"))
+    enough = _around(seekers, 1).join(held.hint("merge"), cell).groupBy(*cell[:2], *query[1:]).agg(F.sum("n_").alias("n_")).where((F.col("n_") > most) | (F.col("level_") == 0))
+    finest = enough.groupBy(*query).agg(F.max("level_").alias("level_"))
+    return _around(seekers.join(finest.hint("merge"), [*query, "level_"]), 3).join(spots.hint("merge"), cell).select(*query, "k_", "x_", "y_")
+
+
 def rings(points: DataFrame, sample: str, key: str, x: str, y: str, sizes: list[int], queries: Column) -> DataFrame:
     """For each stated query its nearest points of the sample, itself left out, in rings of so many: key, neighbour, place, ring.
 
-    The queries, not the points, are dealt and meet the points of their sample in cells of a grid as wide as needed: the
-    cell's ring of neighbours is widened until it holds enough points. Ties go by key.
+    Points are counted in grids of ever smaller cells. A query takes the finest grid whose block of 3 x 3 cells around it
+    holds enough points: they are less than two cells away on either axis, so the nearest ones lie within three cells,
+    and only those cells are met. Of points in one place only as many as could be taken go on. Ties go by key; distances
+    that are not known come last, and for them the first keys of each kind of unknown place are enough.
     """
     most = sum(sizes)
-    asked = points.where(queries).select(F.col(sample).alias("s_"), F.col(key).alias("q_"), F.col(x).alias("qx_"), F.col(y).alias("qy_"))
-    near = points.join(asked, F.col(sample) == F.col("s_")).where(F.col(key) != F.col("q_"))
-    near = near.withColumn("d_", (F.col(x) - F.col("qx_")) ** 2 + (F.col(y) - F.col("qy_")) ** 2).withColumn("salt_", F.pmod(F.xxhash64(key), F.lit(32)))
-    for by in (["q_", "salt_"], ["q_"]):
-        near = near.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("d_", key))).where(F.col("place") <= most)
+    given = points.select(F.col(sample).alias("s_"), F.col(key).alias("k_"), F.col(x).alias("x_"), F.col(y).alias("y_"), queries.alias("asked_")).where("s_ is not null")
+    asked = given.where("asked_").select("s_", F.col("k_").alias("q_"), F.col("x_").alias("qx_"), F.col("y_").alias("qy_"))
+    given = given.drop("asked_")
+    near = _near(_first_of(given.where(_finite("x_", "y_")), ["s_", "x_", "y_"], most + 1), asked.where(_finite("qx_", "qy_")), most)
+    kinds = {f"{c}kind_": F.when(~_finite(c), F.coalesce(F.col(c).cast("string"), F.lit("null"))) for c in ("x_", "y_")}
+    odd = _first_of(given.withColumns(kinds), ["s_", *kinds], most + 1).drop(*kinds)
+    near = near.unionByName(asked.join(odd, "s_").where(~(_finite("x_", "y_") & _finite("qx_", "qy_")))).where("k_ != q_")
+    near = near.withColumn("d_", (F.col("x_") - F.col("qx_")) ** 2 + (F.col("y_") - F.col("qy_")) ** 2)
+    near = near.withColumn("place", F.row_number().over(Window.partitionBy("q_").orderBy(F.col("d_").asc_nulls_last(), "k_"))).where(F.col("place") <= most)
     bounds, total = [], 0
     for size in sizes:
         total += size
         bounds.append(total)
     ring = F.coalesce(*(F.when(F.col("place") <= b, i + 1) for i, b in enumerate(bounds)))
-    return near.select(F.col("q_").alias("query"), F.col(key).alias("neighbour"), "place", ring.alias("ring"))
+    return near.select(F.col("q_").alias("query"), F.col("k_").alias("neighbour"), "place", ring.alias("ring"))
 
 
 def ring_means(found: DataFrame, points: DataFrame, key: str, value: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from candor.functions import scalar
 from candor.functions.scalar import phase_number
-from candor.operators import graph, resolve, statistics, transforms, verbs
+from candor.operators import analysis, graph, resolve, statistics, transforms, verbs
 from candor.plans import predicate
 from candor.sources import formats
 
@@ -161,3 +161,29 @@ def test_identifier_forms(spark):
     for kind, value in good.items():
         df = spark.createDataFrame([(value,), (value + "!",), ("",)], "v string")
         assert [r[0] for r in df.select(scalar.is_kind(df.v, kind)).collect()] == [True, kind == "doi", False], kind
+
+
+def test_rings_equal_all_pairs_without_making_them(spark):
+    rng = random.Random(6)
+    spots = [(1, rng.random(), rng.random()) for _ in range(300)] + [(1, 500 + 1e-6 * rng.random(), -3.0) for _ in range(200)]  # two scales
+    spots += [(2, 1.0, 1.0)] * 60 + [(3, float(i % 7), float(i % 5)) for i in range(90)] + [(4, 0.0, 0.0), (4, 1.0, 0.0), (None, 0.0, 0.0)]
+    spots += [(5, None, 1.0), (5, 1.0, 2.0), (5, 3.0, None), (5, float("inf"), 0.0), (5, float("nan"), 0.0), (5, 0.0, 0.0)]
+    rows = [(i, *s) for i, s in enumerate(spots)]
+    points = spark.createDataFrame(rows, "k long, s int, x double, y double")
+
+    def rank(q, p):
+        if None in (*q[2:], *p[2:]):
+            return 2, 0.0
+        d = (p[2] - q[2]) ** 2 + (p[3] - q[3]) ** 2
+        return (1, 0.0) if d != d else (0, d)
+
+    want = set()
+    for q in rows:
+        if q[0] % 3 == 0 or q[1] == 5:
+            others = sorted((rank(q, p), p[0]) for p in rows if p[1] == q[1] is not None and p[0] != q[0])
+            want |= {(q[0], p, i + 1, 1 if i < 2 else 2) for i, (_, p) in enumerate(others[:5])}
+    got = analysis.rings(points, "s", "k", "x", "y", [2, 3], (F.col("k") % 3 == 0) | (F.col("s") == 5))
+    assert {tuple(r) for r in got.collect()} == want
+    many = spark.range(20_000).select(F.col("id").alias("k"), F.lit(1).alias("s"), (F.col("id") * 37 % 10_007).alias("x"), (F.col("id") * 53 % 9_973).alias("y"))
+    met = analysis._near(many.select(F.col("s").alias("s_"), F.col("k").alias("k_"), F.col("x").alias("x_"), F.col("y").alias("y_")), many.where("k % 20 = 0").select(F.col("s").alias("s_"), F.col("k").alias("q_"), F.col("x").alias("qx_"), F.col("y").alias("qy_")), 5)
+    assert met.count() < 200 * 1000  # all pairs are 20 million
