@@ -4,8 +4,8 @@ Ids are those of a file of the tokenizers library with its own settings: its add
 them out. A document's ids, with the end id appended, are cut only where they exceed a window. The first windows-full
 of a long document are windows of their own; the rest goes to the open window it fits best. Each partition keeps
 `open_windows` of them; when none fits, the fullest is closed. What stays open at the end of the partitions is merged
-in rounds, each task taking about `fan_in` times as many windows as it may leave open. The rounds end when those left
-are at most `open_share` of all windows, or a task has seen them all.
+in rounds, each task taking about `fan_in` times as many windows as it may leave open, whatever the size of the input.
+Each round has `fan_in` times fewer tasks, and the last has one, which sees no more windows than any other.
 
 Null text counts as empty: the end id alone. Rows with equal ids are packed apart. Every pass is written to the
 checkpoint folder, so ids are made once and a lost executor doesn't renumber windows.
@@ -163,19 +163,17 @@ def _merge(size: int, most: int, level: int):
     return run
 
 
-def pack(docs: DataFrame, path: str, size: int = 2048, open_windows: int = 64, end_id: int = 1, fan_in: int = 8, open_share: float = 0.03) -> DataFrame:
+def pack(docs: DataFrame, path: str, size: int = 2048, open_windows: int = 64, end_id: int = 1, fan_in: int = 8) -> DataFrame:
     """One row per piece: where it starts in its document, its window and its place there."""
     text = docs.select("doc_id", text_or_empty().alias("text"))
     pieces = saved(text.mapInArrow(_first(path, size, open_windows, end_id), SHAPE))
-    done, left, closed, level, last = pieces.where("not open"), pieces.where("open"), 0, 0, 0
-    first = F.col("offset") == 0  # one piece of each window
-    while True:
-        found = pieces.agg(F.count_if(first & ~F.col("open")).alias("closed"), F.count_if(first & F.col("open")).alias("open")).first()
-        closed, level = closed + found.closed, level + 1
-        tasks = -(-found.open // (open_windows * fan_in))
-        if found.open <= max(1, open_share * (closed + found.open)) or last == 1:
-            return done.unionByName(left).select(*NAMES[:-1])
-        last = tasks
+    done, left = pieces.where("not open"), pieces.where("open")
+    tasks = -(-left.where("offset = 0").count() // (open_windows * fan_in))  # one piece of each window has offset 0
+    level = 0
+    while tasks:
+        level += 1
         dealt = left.repartition(tasks, F.pmod(F.xxhash64("sequence_id"), F.lit(tasks)))
         pieces = saved(dealt.sortWithinPartitions("sequence_id", "offset").mapInArrow(_merge(size, open_windows, level), SHAPE))
         done, left = done.unionByName(pieces.where("not open")), pieces.where("open")
+        tasks = -(-tasks // fan_in) if tasks > 1 else 0
+    return done.unionByName(left).select(*NAMES[:-1])

@@ -99,3 +99,13 @@ def test_packing_is_exact_and_tight(spark, docs):
     used = sum(r.length for r in rows)
     assert used / (64 * len(by_window)) > 0.93
     assert packing.pack(docs.limit(0), P.path("byte_bpe_50k.json")).count() == 0
+
+
+def test_open_windows_merge_whatever_share_of_all_they_are(spark):
+    rows = [(i, "a b" if i < 4 else " a" * n) for i, n in enumerate([0] * 4 + [1600] * 4)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 8), "doc_id long, text string")
+    path = P.path("byte_bpe_50k.json")
+    for some in (docs, docs.where("doc_id < 4")):
+        got = packing.pack(some, path, size=16, open_windows=2, fan_in=2).collect()
+        used = sum(r.length for r in got)
+        assert len({r.sequence_id for r in got}) == -(-used // 16)  # 2 and 100 % of the windows stay open at first
