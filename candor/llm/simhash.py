@@ -12,9 +12,11 @@ Screening first: fingerprints that differ in at most three bits agree in one hal
 that meet another on a half (with or without one flipped bit) emit variants of the whole word.
 
 `groups` links by one fingerprint, as the query op3_simhash does. A Jaccard of 0.8 is out of its reach: two such texts
-differ in about ten of 64 bits. `near_copies` therefore takes `tables` independent fingerprints of 32 bits over the
-set of five-word shingles, links those within two bits of each other in any table by the same ball hashing (all
-variants within one bit of each side), and keeps a link only if the exact Jaccard of the two sets is `least` or more.
+differ in about ten of 64 bits. `near_copies` therefore takes these links, over the set of five-word shingles, as a first
+step that joins large groups by few pairs, and then finds every other pair by prefixes: two sets with a Jaccard of
+`least` share a shingle among the first (1 - least) of each, in any order that is the same for all. Rare shingles come
+first; which are frequent is counted on a sample, which bears on the speed only. A link is a pair whose exact Jaccard is
+`least` or more, and none is left out.
 
 Null and empty texts have fingerprint zero and link like any other. Rows with equal ids are kept apart; a null id
 is never the smallest of its group, unless all are null.
@@ -29,7 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from candor.llm.common import least_rows, met, numbered, saved, text_or_empty, written
+from candor.llm.bpe import slices
+from candor.llm.common import least_rows, met, numbered, saved, share, text_or_empty, written
 from candor.llm.components import components
 
 
@@ -146,7 +149,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     return given.join(kept.hint("merge"), F.col("kept_row") == F.col("least_row"), "left_semi").drop("kept_row")
 
 
-# Near copies: several short fingerprints and exact Jaccard.
+# Near copies: fingerprints, prefixes and exact Jaccard.
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -178,30 +181,69 @@ def shingles(found: list[bytes], words: int, hashes: dict) -> np.ndarray:
     return np.unique(total)
 
 
-def prints(found: np.ndarray, tables: int) -> np.ndarray:
-    """The fingerprint of 32 bits of each table, below the table's number; none for an empty set."""
-    if not len(found):
-        return np.zeros(0, np.int64)
-    wide = (tables + 1) // 2
-    total = np.zeros(64 * wide, np.int64)
+SKETCH, WIDE = 9, 14  # 512 bits; sets of over a thousand hashes, which fill them, have another sketch of 16,384 bits
+
+
+def print_of(found: np.ndarray) -> int:
+    """The fingerprint of 64 bits of a set of hashes, as a signed integer."""
+    total = np.zeros(64, np.int64)
     with np.errstate(over="ignore"):
-        salts = _mixed(np.arange(1, wide + 1, dtype=np.uint64) * _P)
-    for a in range(0, len(found), 8192):
-        total += bit_counts(_mixed((found[a : a + 8192, None] ^ salts) * _P))
-    bits = np.packbits(2 * total > len(found), bitorder="little").view("<u4")[:tables].astype(np.int64)
-    return bits | np.arange(tables, dtype=np.int64) << 32
+        for a in range(0, len(found), 8192):
+            total += bit_counts(_mixed(found[a : a + 8192, None] * _P))
+    return int(np.packbits(2 * total > len(found), bitorder="little").view("<i8")[0])
+
+
+def sketch(found: np.ndarray, bits: int = SKETCH) -> np.ndarray:
+    """Parities of how many hashes fall to each bit: two sets differ in at least as many hashes as their sketches in bits."""
+    odd = np.bincount((found >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def prefix(found: np.ndarray, least: float, often: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """So many of a set's hashes, rare ones first, that sets with a Jaccard of `least` have one in common."""
+    ids, counts = often
+    seen = np.zeros(len(found), np.int64)
+    if len(ids):
+        at = np.minimum(np.searchsorted(ids, found), len(ids) - 1)
+        seen = np.where(ids[at] == found, counts[at], 0)
+    return found[np.lexsort((found, seen))[: len(found) - int(np.ceil(least * len(found) - 1e-9)) + 1]]
+
+
+def _own(text: str, words: int, hashes: dict) -> np.ndarray:
+    return shingles(text.encode("utf-8", "replace").lower().split(), words, hashes)
+
+
+def frequent(docs: DataFrame, words: int, sample_rows: int = 8_000, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that occur in three or more texts of a sample, ascending, and in how many; `most` of them at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(_own(t, words, hashes).view(np.int64))], ["id"])
 
+    some = docs.where(share(docs.count(), sample_rows)).select(text_or_empty().alias("text")).mapInArrow(run, "id long")
+    best = some.groupBy("id").agg(F.count("*").alias("n")).where("n >= 3").orderBy(F.desc("n"), "id").limit(most).toArrow()
+    ids, counts = best.column("id").to_numpy().view(np.uint64), best.column("n").to_numpy()
+    order = np.argsort(ids)
+    return ids[order], counts[order]
 
-def _signed(docs: DataFrame, words: int, tables: int) -> DataFrame:
-    """doc_id, same (the md5 of the text) and the fingerprints of each document."""
+
+def _signed(docs: DataFrame, words: int, least: float, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """doc_id, same (the md5 of the text), the size of its set of shingles, fingerprint, sketch and prefix of each document."""
+    known = docs.sparkSession.sparkContext.broadcast(often)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for batch in batches:
-            keys = [prints(shingles(t.encode("utf-8", "replace").lower().split(), words, hashes), tables) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "same", "prints"])
+            texts = batch.column(2).to_pylist()
+            for a, b in slices(texts, 2_000_000):
+                sets = [_own(t, words, hashes) for t in texts[a:b]]
+                found = [pa.array([len(x) for x in sets]), pa.array([print_of(x) for x in sets])]
+                found += [pa.array(c, pa.list_(pa.int64())) for c in ([sketch(x) for x in sets], [sketch(x, WIDE) if len(x) > 1000 else None for x in sets], [prefix(x, least, known.value).view(np.int64) if len(x) else () for x in sets])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *found], ["doc_id", "same", "size", "fp", "sketch", "wide", "prefix"])
 
-    return docs.select("doc_id", _same(), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, same binary, prints array<long>")
+    return docs.select("doc_id", _same(), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, same binary, size long, fp long, sketch array<long>, wide array<long>, prefix array<long>")
 
 
 def _same() -> Column:
@@ -213,13 +255,12 @@ def _alike(words: int, least: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
-        own = lambda t: shingles(t.encode("utf-8", "replace").lower().split(), words, hashes)
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                left, right = own(x), own(y)
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):  # not all texts of a batch as strings at a time
+                left, right = _own(x.as_py(), words, hashes), _own(y.as_py(), words, hashes)
                 common = len(np.intersect1d(left, right, assume_unique=True))
-                keep.append(common >= least * (len(left) + len(right) - common))
+                keep.append(common >= least * (len(left) + len(right) - common) - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -251,90 +292,105 @@ def _id_text(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit("null"))
 
 
-def candidates(placed: DataFrame) -> DataFrame:
-    """(row, prints) to row, best and hubs: the first rows of the variants on which it meets others, best the most frequent.
+def _may_link(least: float) -> Column:
+    """Whether sets of size_a and size_b with sketch_a and sketch_b can have a Jaccard of `least`; false only if they can't."""
+    differ = sum((F.bit_count(F.col("sketch_a")[i].bitwiseXOR(F.col("sketch_b")[i])) for i in range((1 << SKETCH) // 64)), F.lit(0))
+    both = F.col("size_a") + F.col("size_b")
+    return (F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b") - 1e-9) & (differ <= both * ((1 - least) / (1 + least)) + 1e-9)
+
+
+def _side(rows: DataFrame, end: str) -> DataFrame:
+    return rows.select(F.col("row").alias(end), F.col("size").alias(f"size_{end}"), F.col("sketch").alias(f"sketch_{end}"))
 
-    All that meet on a variant are within two bits of one another in its table, and a row meets others on hundreds of
-    variants at most. Rows are dealt and sorted by variant once.
-    """
-    variants = F.array(*(F.col("print").bitwiseXOR(_long(m)) for m in ONE[:33]))
-    prints = placed.select("row", "prints").where("row is not null").repartition(int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("row"))
-    met = prints.select("row", F.explode("prints").alias("print")).select("row", F.explode(variants).alias("key")).where("key is not null").repartition("key")
-    first = met.withColumn("hub", F.min("row").over(Window.partitionBy("key")))
-    pairs = first.where("row != hub").groupBy("row", "hub").agg(F.count("*").alias("n"))
-    return saved(pairs.groupBy("row").agg(F.max_by("hub", F.struct(F.col("n"), -F.col("hub"))).alias("best"), F.collect_set("hub").alias("hubs")))
 
+def alike_prints(placed: DataFrame) -> DataFrame:
+    """Pairs (a, b) that tie rows of equal fingerprints, and of fingerprints linked at three bits or less."""
+    heads = saved(placed.groupBy("fp").agg(F.min("row").alias("head")))
+    equal = placed.select("row", "fp").join(heads.hint("merge"), "fp").where("row != head").select(F.col("row").alias("a"), F.col("head").alias("b"))
+    of = lambda end: heads.select(F.col("fp").alias(f"fp_{end}"), F.col("head").alias(f"head_{end}"))
+    near = linked(heads.select("fp")).join(of("a").hint("merge"), F.col("a") == F.col("fp_a")).join(of("b").hint("merge"), F.col("b") == F.col("fp_b"))
+    return equal.unionByName(near.select(F.col("head_a").alias("a"), F.col("head_b").alias("b")))
 
-def close(pairs: DataFrame, placed: DataFrame, tables: int) -> DataFrame:
-    """Of pairs (a, b) those whose fingerprints may be those of texts with a Jaccard of 0.8.
 
-    Such texts differ in 0.152 of the bits, with a deviation of 0.36 / sqrt(bits); five deviations more go.
+def shared_keys(classes: DataFrame) -> DataFrame:
+    """row and key for the shingles that several prefixes hold; n of them, the first and last row of which are low and high."""
+    same = Window.partitionBy("key")
+    keys = classes.select("row", F.explode("prefix").alias("key"))
+    return saved(keys.select("row", "key", F.min("row").over(same).alias("low"), F.max("row").over(same).alias("high"), F.count("*").over(same).alias("n")).where("n > 1"))
+
+
+def apart(shared: DataFrame, placed: DataFrame, tree: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of different groups that share a key and may link. Keys of up to three rows have met their first and last.
+
+    The rows of a key meet in blocks of about `block`, so that no task gets all pairs of a frequent one. The sketches are
+    compared within the join, which gives only pairs that may link.
     """
-    left, right = placed.select(F.col("row").alias("a"), F.col("prints").alias("x")), placed.select(F.col("row").alias("b"), F.col("prints").alias("y"))
-    differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
-    most = int(32 * tables * (0.152 + 5 * 0.36 / (32 * tables) ** 0.5))
-    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").where(differ <= most).select("a", "b")
+    block, same = 500, Window.partitionBy("key")
+    rooted = shared.where("n > 3").join(tree.hint("merge"), F.col("row") == F.col("node"), "left").select("key", "row", F.coalesce("root", "row").alias("root"))
+    several = rooted.withColumns({"first": F.min("root").over(same), "last": F.max("root").over(same), "blocks": F.ceil(F.count("*").over(same) / block)}).where("first != last")
+    rows = saved(several.select("key", "row", "root", "blocks").join(placed.select("row", "size", "sketch").hint("merge"), "row"))
+    side = lambda end, at: rows.select("key", at.alias("block"), *(F.col(c).alias(n) for c, n in (("row", end), ("root", f"root_{end}"), ("size", f"size_{end}"), ("sketch", f"sketch_{end}"))))
+    left, right = side("a", F.pmod(F.xxhash64("row"), "blocks")), side("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return left.join(right.hint("merge"), ["key", "block"]).where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & _may_link(least)).select("a", "b").distinct()
+
 
+def _wide_enough(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """Without the pairs of two large sets whose wide sketches differ in too many bits."""
+    large = classes.where("wide is not null")
+    of = lambda end: large.select(F.col("row").alias(end), F.col("size").alias(f"size_{end}"), F.col("wide").alias(f"wide_{end}"))
+    differ = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
+    both = pairs.join(of("a").hint("merge"), "a", "left").join(of("b").hint("merge"), "b", "left")
+    return both.where(F.coalesce(differ <= (F.col("size_a") + F.col("size_b")) * ((1 - least) / (1 + least)) + 1e-9, F.lit(True))).select("a", "b")
 
-def verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+
+def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, least: float) -> DataFrame:
     """The pairs whose sets of shingles have a Jaccard of `least` or more."""
+    pairs = saved(_wide_enough(pairs, classes, least))
+    asked = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
+    asked = saved(asked.join(classes.select("row", "doc_id", "same").hint("merge"), "row").select("row", _id_text("doc_id").alias("own_id"), F.col("same").alias("own_same")))
+    some = sieved(_keyed(docs, [text_or_empty().alias("text")]), asked).where("maybe").select("own_id", "own_same", "text")
+    texts = written(some.join(asked.hint("merge"), ["own_id", "own_same"]).select("row", "text").dropDuplicates(["row"]))
     left, right = texts.select(F.col("row").alias("a"), F.col("text").alias("x")), texts.select(F.col("row").alias("b"), F.col("text").alias("y"))
     both = pairs.select("a", "b").join(left.hint("merge"), "a").join(right.hint("merge"), "b")
     return both.select("a", "b", "x", "y").mapInArrow(_alike(words, least), "a long, b long")
 
 
-def linked_rows(found: DataFrame, placed: DataFrame, texts: DataFrame, words: int, least: float, tables: int) -> DataFrame:
-    """(node, root) of the groups that the candidates with enough in common make.
+def linked_rows(docs: DataFrame, classes: DataFrame, words: int, least: float) -> DataFrame:
+    """(node, root) of the groups that all pairs with a Jaccard of `least` or more make.
 
-    Each row is compared with its best hub first. Of its other hubs only those are that would still join two groups,
-    and all of them where the best has too little in common.
+    Rows are first compared with those of like fingerprints and with the first and the last row of each key, then with all
+    rows of other groups that share a key.
     """
-    first = found.select(F.col("row").alias("a"), F.col("best").alias("b"))
-    edges = saved(verified(close(first, placed, tables), texts, words, least))
-    tree = components(edges)
-    failed = saved(first.join(edges.hint("merge"), ["a", "b"], "left_anti").select("a"))
-    others = found.select(F.col("row").alias("a"), "best", F.explode("hubs").alias("b")).where("b != best")
-    of = lambda end: tree.select(F.col("node").alias(f"node_{end}"), F.col("root").alias(f"root_{end}"))
-    hubs = others.select("best", "b").distinct().join(of("best").hint("merge"), F.col("best") == F.col("node_best"), "left").join(of("b").hint("merge"), F.col("b") == F.col("node_b"), "left")
-    apart = saved(hubs.where(F.coalesce("root_best", "best") != F.coalesce("root_b", "b")).select("best", "b"))
-    more = others.join(apart.hint("merge"), ["best", "b"], "left_semi").select("a", "b").unionByName(others.join(failed.hint("merge"), "a", "left_semi").select("a", "b")).distinct()
-    return components(edges.unionByName(saved(verified(close(more, placed, tables), texts, words, least))))
-
-
-def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, tables: int = 16) -> DataFrame:
+    placed = classes.where("size > 0").select("row", "fp", "size", "sketch")
+    shared = shared_keys(classes)
+    hubs = shared.where("row != low").select(F.col("row").alias("a"), F.col("low").alias("b")).unionByName(shared.where("row != high").select(F.col("high").alias("a"), F.col("row").alias("b")))
+    pairs = alike_prints(placed).unionByName(hubs).distinct().join(_side(placed, "a").hint("merge"), "a").join(_side(placed, "b").hint("merge"), "b")
+    edges = saved(verified(saved(pairs.where(_may_link(least)).select("a", "b")), docs, classes, words, least))
+    more = saved(apart(shared, placed, components(edges), least))
+    return components(edges.unionByName(saved(verified(more, docs, classes, words, least))))
+
+
+def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """Classes of equal texts: row (a number), doc_id (the smallest), same (the md5 of the text), root of the group.
 
-    Rows are numbered by how many others share their fingerprints, so that the typical texts of a large group come first
-    and the group's rows meet few hubs. Texts of fewer than `words` words are one shingle; null and empty texts are one
-    class, and have no fingerprint.
+    Texts of fewer than `words` words are one shingle; null and empty texts are one class, and have no fingerprint.
     """
-    signed = written(_signed(docs, words, tables))
-    first = F.min_by(F.struct("doc_id", "prints"), F.struct(F.col("doc_id").isNull(), "doc_id")).alias("first")
-    bare = written(signed.groupBy("same").agg(first).select("same", "first.doc_id", "first.prints"))
-    each = bare.select("same", F.explode("prints").alias("print"))
-    often = each.groupBy("print").agg(F.count("*").alias("n")).where("n > 1")
-    typical = each.join(often.hint("merge"), "print").groupBy(F.col("same").alias("of")).agg(F.sum("n").alias("typical"))
-    ranked = bare.join(typical.hint("merge"), F.col("same") == F.col("of"), "left").select("same", "doc_id", "prints", F.coalesce("typical", F.lit(0)).alias("typical"))
-    classes = written(ranked.orderBy(F.desc("typical"), "same").select("same", "doc_id", "prints", F.monotonically_increasing_id().alias("row")))
-    blank = classes.where(F.size("prints") == 0).agg(F.min("row").alias("blank"))
-    placed = classes.where(F.size("prints") > 0).select("row", "prints")
-    found = candidates(placed)
-    asked = found.select("row").unionByName(found.select(F.explode("hubs").alias("row"))).distinct()
-    asked = saved(asked.join(classes.hint("merge"), "row").select("row", _id_text("doc_id").alias("own_id"), F.col("same").alias("own_same")))
-    some = sieved(_keyed(docs, [text_or_empty().alias("text")]), asked).where("maybe").select("own_id", "own_same", "text")
-    texts = written(some.join(asked.hint("merge"), ["own_id", "own_same"]).select("row", "text").dropDuplicates(["row"]))
-    tree = linked_rows(found, placed, texts, words, least, tables)
+    signed = written(_signed(docs, words, least, frequent(docs, words)))
+    first = F.min_by(F.struct(*signed.drop("same").columns), F.struct(F.col("doc_id").isNull(), "doc_id")).alias("first")
+    classes = written(signed.groupBy("same").agg(first).select("same", "first.*", F.monotonically_increasing_id().alias("row")))
+    blank = classes.where("size = 0").agg(F.min("row").alias("blank"))
+    tree = linked_rows(docs, classes, words, least)
     rooted = classes.join(tree.hint("merge"), F.col("row") == F.col("node"), "left").join(F.broadcast(blank))
-    return rooted.select("row", "doc_id", "same", F.when(F.size("prints") == 0, F.col("blank")).otherwise(F.coalesce("root", "row")).alias("root"))
+    return rooted.select("row", "doc_id", "same", F.when(F.col("size") == 0, F.col("blank")).otherwise(F.coalesce("root", "row")).alias("root"))
 
 
-def without_near_copies(docs: DataFrame, words: int = 5, least: float = 0.8, tables: int = 16) -> DataFrame:
+def without_near_copies(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     """Of each group of near copies (Jaccard of `words`-word shingles) the row with the smallest id; a null id only if all are null.
 
     Rows with null or repeated ids are told apart by their texts, so they never merge rows of different groups; of rows
     with one id and one text, one stays.
     """
-    found = written(near_copies(docs, words, least, tables))
+    found = written(near_copies(docs, words, least))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
     kept = found.groupBy("root").agg(F.min_by(F.struct("doc_id", "same"), order).alias("best")).select(_id_text("best.doc_id").alias("own_id"), F.col("best.same").alias("own_same"))
     return kept_once(docs, kept)

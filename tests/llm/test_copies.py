@@ -54,3 +54,22 @@ def test_null_and_repeated_ids_stay_apart(spark):
     kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, at int"), "").collect()
     at = {r["at"] for r in kept}
     assert len(kept) == 9 and set(range(8)) < at and len(at & {9, 10}) == 1
+
+
+def test_no_link_of_a_loose_group_is_left_out(spark):
+    rng = random.Random(3)
+    rows = []
+    for g in range(6):
+        base = [f"g{g}w{i}" for i in range(100)]
+        for _ in range(50):  # most pairs are below the threshold, some above it
+            near = list(base)
+            for at in rng.sample(range(100), rng.choice((1, 2, 3, 4))):
+                near[at] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(near)))
+    for n in (5, 20, 45, 90):  # exactly 0.8 and just below
+        a = [f"n{n}w{i}" for i in range(n + 4)]
+        rows += [(len(rows), " ".join(a)), (len(rows) + 1, " ".join(a + [f"y{n}{i}" for i in range(n // 4)]))]
+        rows += [(len(rows), " ".join(f"z{w}" for w in a)), (len(rows) + 1, " ".join([f"z{w}" for w in a] + [f"y{n}{i}" for i in range(n // 4 + 1)]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert got == sorted(r[0] for r in brute_least(rows))
