@@ -15,7 +15,7 @@ that meet another on a half (with or without one flipped bit) emit variants of t
 differ in about ten of 64 bits. `near_copies` therefore takes these links, over the set of five-word shingles, as a first
 step that joins large groups by few pairs, and then finds every other pair by prefixes: two sets with a Jaccard of
 `least` share a shingle among the first (1 - least) of each, in any order that is the same for all. Rare shingles come
-first; which are frequent is counted on a sample, which bears on the speed only. A link is a pair whose exact Jaccard is
+first; which are frequent is counted on a sixth of the texts, which bears on the speed only. A link is a pair whose exact Jaccard is
 `least` or more, and none is left out.
 
 Null and empty texts have fingerprint zero and link like any other. Rows with equal ids are kept apart; a null id
@@ -181,6 +181,7 @@ def shingles(found: list[bytes], words: int, hashes: dict) -> np.ndarray:
     return np.unique(total)
 
 
+BEFORE = 4
 SKETCH, WIDE = 9, 14  # 512 bits; sets of over a thousand hashes, which fill them, have another sketch of 16,384 bits
 
 
@@ -214,7 +215,11 @@ def _own(text: str, words: int, hashes: dict) -> np.ndarray:
 
 
 def frequent(docs: DataFrame, words: int, sample_rows: int = 8_000, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles that occur in three or more texts of a sample, ascending, and in how many; `most` of them at most."""
+    """The shingles that occur in three or more texts of a sample, ascending, and in how many; `most` of them at most.
+
+    The sample is a sixth of the texts, and not fewer than `sample_rows`: with a fixed one, a shingle could be in more and
+    more texts of a growing table unseen, and all these texts would meet.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
@@ -222,7 +227,8 @@ def frequent(docs: DataFrame, words: int, sample_rows: int = 8_000, most: int =
             for t in batch.column(0).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(_own(t, words, hashes).view(np.int64))], ["id"])
 
-    some = docs.where(share(docs.count(), sample_rows)).select(text_or_empty().alias("text")).mapInArrow(run, "id long")
+    total = docs.count()
+    some = docs.where(share(total, max(sample_rows, total // 6))).select(text_or_empty().alias("text")).mapInArrow(run, "id long")
     best = some.groupBy("id").agg(F.count("*").alias("n")).where("n >= 3").orderBy(F.desc("n"), "id").limit(most).toArrow()
     ids, counts = best.column("id").to_numpy().view(np.uint64), best.column("n").to_numpy()
     order = np.argsort(ids)
@@ -319,19 +325,36 @@ def shared_keys(classes: DataFrame) -> DataFrame:
     return saved(keys.select("row", "key", F.min("row").over(same).alias("low"), F.max("row").over(same).alias("high"), F.count("*").over(same).alias("n")).where("n > 1"))
 
 
+def _enough_shared(least: float) -> Column:
+    """Whether prefixes with `keys_a` and `keys_b` keys left hold as many shared ones as a Jaccard of `least` needs; false only if not.
+
+    Such sets have `common` hashes or more in common. A prefix, in the order of all sets, lacks at most (size - common) of
+    them, and those of the prefix that ends first lie in the other one too.
+    """
+    common = F.ceil((F.col("size_a") + F.col("size_b")) * (least / (1 + least)) - 1e-6)
+    needed = lambda end: common - F.ceil(F.col(f"size_{end}") * least - 1e-9) + 1  # noqa: E731  the length of its prefix, size - ceil(least * size) + 1, less (size - common)
+    return F.least("keys_a", "keys_b") >= F.least(needed("a"), needed("b"))
+
+
 def apart(shared: DataFrame, placed: DataFrame, tree: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of different groups that share a key and may link. Keys of up to three rows have met their first and last.
+    """Pairs (a, b) of different groups that share a key and may link. Pairs that share a key of up to three rows have been compared.
 
-    The rows of a key meet in blocks of about `block`, so that no task gets all pairs of a frequent one. The sketches are
-    compared within the join, which gives only pairs that may link.
+    So a link between groups shows in keys of more rows and of several groups only, and there in as many as its sizes
+    ask for. The rows of a key meet in blocks of about `block`, so that no task gets all pairs of a frequent one. What can
+    be told from sizes, numbers of keys and sketches is told within the join. Keys have one order, frequent ones last; a pair
+    that shares one of the `BEFORE` keys just before this one comes there, so that it is not made anew at each of its keys.
     """
     block, same = 500, Window.partitionBy("key")
-    rooted = shared.where("n > 3").join(tree.hint("merge"), F.col("row") == F.col("node"), "left").select("key", "row", F.coalesce("root", "row").alias("root"))
-    several = rooted.withColumns({"first": F.min("root").over(same), "last": F.max("root").over(same), "blocks": F.ceil(F.count("*").over(same) / block)}).where("first != last")
-    rows = saved(several.select("key", "row", "root", "blocks").join(placed.select("row", "size", "sketch").hint("merge"), "row"))
-    side = lambda end, at: rows.select("key", at.alias("block"), *(F.col(c).alias(n) for c, n in (("row", end), ("root", f"root_{end}"), ("size", f"size_{end}"), ("sketch", f"sketch_{end}"))))
+    rooted = shared.where("n > 3").join(tree.hint("merge"), F.col("row") == F.col("node"), "left").select("key", "row", "n", F.coalesce("root", "row").alias("root"))
+    several = rooted.withColumns({"first": F.min("root").over(same), "last": F.max("root").over(same)}).where("first != last").select("key", "row", "root", "n", F.ceil(F.col("n") / block).alias("blocks"))
+    own = Window.partitionBy("row")
+    before = F.array_compact(F.array(*(F.lag("key", i).over(own.orderBy("n", "key")) for i in range(1, BEFORE + 1))))
+    kept = several.select("key", "row", "root", "blocks", F.count("*").over(own).alias("keys"), before.alias("before"))
+    rows = saved(kept.join(placed.select("row", "size", "sketch").hint("merge"), "row"))
+    side = lambda end, at: rows.select("key", at.alias("block"), F.col("row").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in ("root", "size", "keys", "before", "sketch")))
     left, right = side("a", F.pmod(F.xxhash64("row"), "blocks")), side("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    return left.join(right.hint("merge"), ["key", "block"]).where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & _may_link(least)).select("a", "b").distinct()
+    may = (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & _enough_shared(least) & _may_link(least) & ~F.arrays_overlap("before_a", "before_b")
+    return left.join(right.hint("merge"), ["key", "block"]).where(may).select("a", "b").distinct()
 
 
 def _wide_enough(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
@@ -366,8 +389,9 @@ def linked_rows(docs: DataFrame, classes: DataFrame, words: int, least: float) -
     hubs = shared.where("row != low").select(F.col("row").alias("a"), F.col("low").alias("b")).unionByName(shared.where("row != high").select(F.col("high").alias("a"), F.col("row").alias("b")))
     pairs = alike_prints(placed).unionByName(hubs).distinct().join(_side(placed, "a").hint("merge"), "a").join(_side(placed, "b").hint("merge"), "b")
     edges = saved(verified(saved(pairs.where(_may_link(least)).select("a", "b")), docs, classes, words, least))
-    more = saved(apart(shared, placed, components(edges), least))
-    return components(edges.unionByName(saved(verified(more, docs, classes, words, least))))
+    tree = components(edges)
+    more = saved(verified(saved(apart(shared, placed, tree, least)), docs, classes, words, least))
+    return components(tree.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
 
 def near_copies(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:

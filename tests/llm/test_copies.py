@@ -1,6 +1,8 @@
 import random
 
 import corpus_pipeline
+import numpy as np
+from candor.llm import simhash
 
 
 def brute_shingles(text):
@@ -73,3 +75,27 @@ def test_no_link_of_a_loose_group_is_left_out(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
     assert got == sorted(r[0] for r in brute_least(rows))
+
+
+def test_the_last_join_makes_no_pair_of_texts_that_share_a_passage_only_and_loses_no_link(spark):
+    rng = random.Random(5)
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts = [" ".join(f"d{d}w{i}" for i in range(2000)) + " " + passage for d in range(30)]  # so long that 512 bits tell nothing
+    for _ in range(40):
+        near = [f"g{i}" for i in range(120)]
+        for at in rng.sample(range(120), rng.choice((1, 2, 3, 4))):
+            near[at] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(near))
+    docs = spark.createDataFrame(list(enumerate(texts)), "row long, text string").selectExpr("row", "row as doc_id", "text")
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # no shingle is known as frequent
+    classes = simhash._signed(docs, 5, 0.8, none).withColumnRenamed("doc_id", "row").localCheckpoint()
+    shared = simhash.shared_keys(classes)
+    made = {(r.a, r.b) for r in simhash.apart(shared, classes, spark.createDataFrame([], "node long, root long"), 0.8).collect()}
+    assert not [p for p in made if p[0] < 30 or p[1] < 30]
+    sets = [brute_shingles(t) for t in texts]
+    few = {}
+    for r in shared.where("n <= 3").collect():
+        few.setdefault(r.key, []).append(r.row)
+    met = {(min(a, b), max(a, b)) for rows in few.values() for a in rows for b in rows if a != b}
+    links = {(a, b) for b in range(len(sets)) for a in range(b) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    assert len(links) > 50 and links - met <= made
